@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import lookalikes
+from lexloom.llm import lookalikes, markup
 from lexloom.runtime import table
 
 QUERIES: dict = {}
@@ -42,3 +42,19 @@ def p1_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record once with its plain form."""
     rows = _texts(spark, sf_dir).distinct()
     return lookalikes.unify(rows, "text", "plain").select("src", "rec_id", "plain")
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.notation_lines(table(spark, sf_dir, "text_segments"), ["seg_id"], "contents")
+
+
+@query
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = markup.clean_lines(table(spark, sf_dir, "text_segments"), "seg_id", "doc_id", "line_no", "contents")
+    return out.withColumn("notation", F.array_join("notation", " "))
+
+
+@query
+def p2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.wrappers(table(spark, sf_dir, "text_segments"), "code_aiot", "contents")
