@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import lookalikes, markup
+from lexloom.llm import canonical_list, lookalikes, markup, scan_repair
 from lexloom.runtime import table
 
 QUERIES: dict = {}
@@ -58,3 +58,30 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.wrappers(table(spark, sf_dir, "text_segments"), "code_aiot", "contents")
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_repair.noise(table(spark, sf_dir, "text_segments"))
+
+
+@query
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_repair.paragraphs(table(spark, sf_dir, "text_segments"))
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = _mentions(spark, sf_dir).where("code_cid IS NOT NULL")
+    return mapped.withColumn("article_id", F.coalesce("article_id", F.lit("-")))
+
+
+@query
+def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions whose title, or whose article in a known code, has no entry."""
+    misses = _mentions(spark, sf_dir).where("code_cid IS NULL OR article_id IS NULL")
+    return misses.select("mention_id", "code_cid", F.when(F.col("code_cid").isNull(), "title").otherwise("article").alias("missing"))
+
+
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_list.map_mentions(*[table(spark, sf_dir, t) for t in ("code_mentions", "dim_codes", "dim_code_articles")])
