@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import canonical_list, lookalikes, markup, scan_repair
+from lexloom.llm import canonical_list, entity_match, lookalikes, markup, scan_repair
 from lexloom.runtime import table
 
 QUERIES: dict = {}
@@ -85,3 +85,18 @@ def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_list.map_mentions(*[table(spark, sf_dir, t) for t in ("code_mentions", "dim_codes", "dim_code_articles")])
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir).where("reg_id IS NOT NULL").select("reg_id", "cite_id")
+
+
+@query
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every citation with the act it means, if any, and the confidence rounded to six places."""
+    return _matches(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_match.match(table(spark, sf_dir, "cited_acts"), table(spark, sf_dir, "register_acts"))
