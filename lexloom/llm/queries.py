@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import canonical_list, entity_match, lookalikes, markup, scan_repair
+from lexloom.llm import canonical_list, contamination, entity_match, lookalikes, markup, mixing, scan_repair
 from lexloom.runtime import table
 
 QUERIES: dict = {}
@@ -100,3 +100,32 @@ def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity_match.match(table(spark, sf_dir, "cited_acts"), table(spark, sf_dir, "register_acts"))
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+@query
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, leaked spans cut out."""
+    return contamination.without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of both mixtures, as often as drawn, in the order of the global shuffle."""
+    sizes = mixing.sized(table(spark, sf_dir, "documents"))
+    return mixing.mix(sizes, mixing.plan(sizes, table(spark, sf_dir, "mix_targets")))
+
+
+@query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source contributes to each mixture, against its target."""
+    sizes = mixing.sized(table(spark, sf_dir, "documents"))
+    return mixing.shares(sizes, mixing.plan(sizes, table(spark, sf_dir, "mix_targets"))).withColumn("rate", F.round("rate", 6))
