@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import canonical_list, contamination, entity_match, lookalikes, markup, mixing, scan_repair
+from lexloom.llm import canonical_list, contamination, entity_match, lookalikes, markup, mixing, scan_repair, text_quality
 from lexloom.runtime import table
 
 QUERIES: dict = {}
@@ -129,3 +129,19 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each source contributes to each mixture, against its target."""
     sizes = mixing.sized(table(spark, sf_dir, "documents"))
     return mixing.shares(sizes, mixing.plan(sizes, table(spark, sf_dir, "mix_targets"))).withColumn("rate", F.round("rate", 6))
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where("form <> 'prose'").select("doc_id", "form")
+
+
+@query
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its statistics, its distance from prose and each statistic's contribution."""
+    out = _judged(spark, sf_dir)
+    return out.select([F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
