@@ -30,7 +30,7 @@ OUTLIER = 60.0  # squared distance beyond which a document is not prose
 LANGUAGES = ("fr", "en", "de")
 
 _WORD = re.compile(r"[^\W\d_]+")
-_TOKEN = re.compile(r"\S+")
+_CELLS = re.compile(r"\t|\||;\S|,\S|\S  ")
 _MARKED = re.compile(r"^\s*(?:[-*•–—▪◦·>+‣●○■□➢✓]\s*|\(?\d{1,3}(?:\.\d{1,3})*[.)°]\s+|\(?[A-Za-z][.)]\s+|[ivxIVX]{1,5}[.)]\s+)\S")
 _GAP = re.compile(r"\S {2,}(?=\S)")
 _BAR = re.compile(r"(?:^|\s)\|(?=\s|$)")
@@ -38,12 +38,16 @@ _ENDS = re.compile(r"[.;:!?…»\")]\s*$")
 _BREAK = re.compile(r"(?<=[.;!?])\s+")
 _STOP = re.compile(r"[.!?…»\"]\s*$")
 _VOWEL = re.compile(r"[aeiouyàâäéèêëîïôöùûüœæ]")
-_PLAIN = re.compile(r"[\w\s.,;:!?'’\"«»()°%/²³µ–—-]")
+_UNUSUAL = re.compile(r"[^\w\s.,;:!?'’\"«»()°%/²³µ–—-]")
+_DIGIT = re.compile(r"\d")
+_USUAL = re.compile(r"[«\"(\[]*(?:[^\W\d_A-ZÀ-Þ]{1,25}|[A-ZÀ-Þ][^\W\d_A-ZÀ-Þ]{0,24}|[A-ZÀ-Þ]{2,25})(?:['’–-]+[^\W\d_]{1,25})*[.,;:!?)\"»\]]*|[\d.,/:-]{1,25}")
 _ODD = re.compile(r"[^\W\d_]\d|\d[^\W\d_]{3}|[^\W\d_][^\w\s.,;:!?'’\"«»()°%/²³µ–—@&+*=<>|\[\]{}#~-]|[^\w\s'’\"«»(\[{.,;:!?°%/–—@&+*=<>#~-][^\W\d_]|.{26}|[a-zà-ÿ][A-ZÀ-Þ][A-Za-z]*[a-z]")
 
 
 def _table_row(line: str) -> str | None:
     """The separator by which a line reads as a row of cells, if it does."""
+    if not _CELLS.search(line):
+        return None
     if line.count("\t") >= 2:
         return "\t"
     if sum(map(str.isalnum, line)) * 4 < len(line.strip()):
@@ -101,37 +105,38 @@ def split_forms(text: str, common: set[str]) -> tuple[str, int, int, int, list[s
     return running, chars["list"], chars["table"], sum(chars.values()), lines
 
 
-def statistics(text: str | None, common: dict[str, set[str]]) -> dict:
-    """All statistics of one text."""
+def statistics(text: str | None, common: dict[str, set[str]], every: set[str]) -> dict:
+    """All statistics of one text; ``every`` is the union of the languages' common words."""
     text = text or ""
-    every = set().union(*common.values()) if common else set()
     running, in_list, in_table, total, lines = split_forms(text, every)
     words_all = _WORD.findall(text.lower())
+    length_all = sum(map(len, words_all))
     body = running if len(running) >= 0.2 * max(total, 1) else text
-    words = _WORD.findall(body.lower())
+    words = words_all if in_list + in_table == 0 else _WORD.findall(body.lower())
     n = max(len(words), 1)
-    known = {lang: sum(w in common[lang] for w in words) / n for lang in common}
+    tally = Counter(words)
+    known = {lang: sum(tally[w] for w in usual if w in tally) / n for lang, usual in common.items()}
     lang = max(known, key=lambda k: (known[k], k)) if known else None
-    tokens = _TOKEN.findall(body)
+    tokens = body.split()
     chars = max(len(body), 1)
     pairs = Counter(zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else Counter()
-    top = max(Counter(words).values(), default=0) / n
+    top = max(tally.values(), default=0) / n
     again = sum(c for c in pairs.values() if c > 2) / max(sum(pairs.values()), 1)
     flow = " ".join(body.split("\n"))
     in_sentences = sum(len(s) for s in _BREAK.split(flow.rstrip()) if s.count(" ") >= 4 and len(s) < 700 and s[-1] in ".;!?")
     return {
         "words": len(words_all),
         "lines": len(lines),
-        "mean_word_length": sum(map(len, words_all)) / max(len(words_all), 1),
+        "mean_word_length": length_all / max(len(words_all), 1),
         "lines_with_end": sum(bool(_ENDS.search(x)) for x in lines) / max(len(lines), 1),
         "guessed": lang if lang and known[lang] >= 0.1 else None,
-        "word_length": min(sum(map(len, words)) / n, 20.0),
-        "symbols": 1 - len(_PLAIN.findall(body)) / chars,
-        "digits": sum(c.isdigit() for c in body) / chars,
+        "word_length": min((length_all if words is words_all else sum(map(len, words))) / n, 20.0),
+        "symbols": len(_UNUSUAL.findall(body)) / chars,
+        "digits": len(_DIGIT.findall(body)) / chars,
         "common": known[lang] if lang else 0.0,
         "repeated": max(0.0, top - 0.12) + max(0.0, again - 0.35),
         "sentences": min(1.0, in_sentences / chars),
-        "odd_words": sum(bool(_ODD.search(t)) for t in tokens) / max(len(tokens), 1),
+        "odd_words": sum(k for t, k in Counter(tokens).items() if not _USUAL.fullmatch(t) and _ODD.search(t)) / max(len(tokens), 1),
         "list_share": in_list / max(total, 1),
         "table_share": in_table / max(total, 1),
     }
@@ -153,9 +158,11 @@ def measured(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     for r in rows:
         common.setdefault(r["lang"], set()).add(r["word"].lower())
 
+    every = set().union(*common.values())
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([statistics(t, common) for t in batch], columns=list(_COLUMNS))
+            yield pd.DataFrame([statistics(t, common, every) for t in batch], columns=list(_COLUMNS))
 
     stated = F.when(F.col("lang").isin(*LANGUAGES), F.col("lang"))
     out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), stated.alias("stated"), F.pandas_udf(run, _SCHEMA)("text").alias("s"))
