@@ -6,7 +6,7 @@ import unicodedata
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,6 +132,12 @@ def plain_formulas(text: Column) -> Column:
     return F.when(needs, F.pandas_udf(_python_part, T.StringType())(F.when(needs, text))).otherwise(text)
 
 
-def clean(text: Column) -> Column:
-    """The cleaning step of one line, in its order."""
-    return recompose(unescape(repair_glyphs(repair_months(strip_headings(strip_emphasis(strip_newlines(text)))))))
+CLEANING = (strip_newlines, strip_emphasis, strip_headings, plain_formulas, repair_months, repair_glyphs, unescape, recompose)
+
+
+def clean(lines: DataFrame, text: str) -> DataFrame:
+    """The cleaning step on a text column, in its order. One projection a step: a step that looks at its text several
+    times then looks at a computed value, where one nested expression would compute every earlier step again."""
+    for step in CLEANING:
+        lines = lines.withColumn(text, step(F.col(text)))
+    return lines

@@ -59,13 +59,13 @@ def date_of(text: Column, as_of_year: int = 2025) -> Column:
     figures = [F.regexp_extract(text, r"(\d{2})/(\d{2})/(\d{4}|\d{2})", i) for i in (1, 2, 3)]
     spelled = words != ""
     table = {w: i for names in (G.MONTH_CODES, G.MONTH_POINTS, G.MONTH_NAMES) for i, w in enumerate(names, 1)}
-    month = F.when(spelled, F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), month_word)).otherwise(F.expr("try_cast(0 as int)") + figures[1].try_cast("int"))
+    month = F.when(spelled, F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), month_word)).otherwise(figures[1].try_cast("int"))
     day = F.when(spelled, F.regexp_replace(words, "er", "").try_cast("int")).otherwise(figures[0].try_cast("int"))
     raw = F.when(spelled, year_words).otherwise(figures[2])
     number = raw.try_cast("int")
     year = F.when(F.length(raw) == 4, number).when(number > as_of_year - 2000 + 5, 1900 + number).otherwise(2000 + number)
     iso = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    real = F.expr("1 = 1") & F.try_to_date(iso, F.lit("yyyy-MM-dd")).isNotNull()
+    real = F.try_to_date(iso, "yyyy-MM-dd").isNotNull()
     return F.when(raw != "", F.when(real, iso).otherwise("0001-01-01"))
 
 

@@ -98,7 +98,7 @@ def clean_glyphs_and_escapes(spark, sf_dir):
 @query("clean_markdown")
 def clean_markdown(spark, sf_dir):
     """The whole cleaning step with its filter."""
-    cleaned = segments(spark, sf_dir).select("seg_id", "doc_id", "line_no", text.plain_formulas(text.clean(F.col("contents"))).alias("contents"))
+    cleaned = text.clean(segments(spark, sf_dir).select("seg_id", "doc_id", "line_no", "contents"), "contents")
     return cleaned.where(text.useful(F.col("contents")))
 
 
@@ -115,9 +115,9 @@ def month_repair(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.repair_months(s).alias("repaired"))
 
 
-@query("recompose_words", "SELECT s_suppkey, 'VU la demande ' || s_name || ' arrêté n O T' AS closed FROM supplier")
+@query("recompose_words", "SELECT s_suppkey, 'VU la demande ' || s_name || ', arrêté, n O T' AS closed FROM supplier")
 def recompose_words(spark, sf_dir):
-    s = F.concat(F.lit("V U la demande "), F.col("s_name"), F.lit(" a r r ê t é n O T"))
+    s = F.concat(F.lit("V U la demande "), F.col("s_name"), F.lit(", a r r ê t é, n O T"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.recompose(s).alias("closed"))
 
 
@@ -148,7 +148,7 @@ _ROMAN_CASE = "CASE upper(p) " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in G.R
 _ROMANS_SQL = "['" + "','".join(G.ROMANS) + "']"
 
 
-@query("levels_from_number", f"WITH n AS (SELECT DISTINCT {_ROMANS_SQL}[l_orderkey % 39 + 1] || '.' || l_linenumber || '-' || (l_partkey % 99 + 1) AS number FROM lineitem) SELECT number, array_to_string(list_transform(list_filter(regexp_split_to_array(number, '[.\\- ]+'), p -> p <> ''), p -> {_ROMAN_CASE}), ',') AS levels FROM n")
+@query("levels_from_number", f"WITH n AS (SELECT DISTINCT {_ROMANS_SQL}[l_orderkey % 39 + 1] || '.' || l_linenumber || '-' || (l_partkey % 99 + 1) AS number FROM lineitem) SELECT number, array_to_string(list_transform(list_filter(regexp_split_to_array(number, '[.\\- ]+'), lambda p: p <> ''), lambda p: {_ROMAN_CASE}), ',') AS levels FROM n")
 def levels_from_number(spark, sf_dir):
     romans = F.array(*[F.lit(r) for r in G.ROMANS])
     number = F.concat(F.element_at(romans, (F.col("l_orderkey") % 39 + 1).cast("int")), F.lit("."), F.col("l_linenumber"), F.lit("-"), F.col("l_partkey") % 99 + 1)
@@ -359,11 +359,16 @@ def uri_render(spark, sf_dir):
     return rows.select("reg_id", uri.render([F.col(c) for c in ("doc_type", "id", "num", "doc_date", "title")], [[F.lit("article"), none, F.lit("1.2"), none, none]]).alias("uri"))
 
 
-@query("uri_parse", "SELECT DISTINCT ref_id, split_part(split_part(substr(uri, 7), '/', 1), '_', 1) AS doc_type, split_part(split_part(substr(uri, 7), '/', 2), '_', 1) AS section_type, nullif(split_part(split_part(substr(uri, 7), '/', 2), '_', 3), '') AS start_num FROM section_references WHERE uri IS NOT NULL AND contains(substr(uri, 7), '/')")
-def uri_parse(spark, sf_dir):
-    rows = table(spark, sf_dir, "section_references").where("uri IS NOT NULL").select("ref_id", uri.parse(F.col("uri")).alias("p")).where("size(p) > 1").distinct()
+@query("uri_round_trip", "SELECT DISTINCT reg_id, doc_type, id, num, doc_date, title, 'article' AS section_type, CAST(NULL AS VARCHAR) AS section_end FROM register_acts WHERE NOT contains(title, '_')")
+def uri_round_trip(spark, sf_dir):
+    """Identifiers rendered from every act and parsed back into their tokens."""
+    rows = table(spark, sf_dir, "register_acts").select("reg_id", "doc_type", "id", "num", "doc_date", "title").distinct()
+    none = F.lit(None).cast("string")
+    rendered = rows.select("reg_id", uri.render([F.col(c) for c in ("doc_type", "id", "num", "doc_date", "title")], [[F.lit("article"), none, F.lit("L1-2"), none, none]]).alias("uri"))
+    parsed = rendered.where("uri IS NOT NULL").select("reg_id", uri.parse(F.col("uri")).alias("p"))
     part = lambda i, j: F.element_at(F.element_at("p", i), j)
-    return rows.select("ref_id", part(1, 1).alias("doc_type"), part(2, 1).alias("section_type"), part(2, 3).alias("start_num"))
+    names = ("doc_type", "id", "num", "doc_date", "title")
+    return parsed.select("reg_id", *[part(1, j).alias(n) for j, n in enumerate(names, 1)], part(2, 1).alias("section_type"), part(2, 4).alias("section_end"))
 
 
 @query("uri_validate", "WITH c AS (SELECT DISTINCT ref_id, section_type, end_num FROM section_references WHERE section_type IS NOT NULL) SELECT ref_id, (CASE section_type WHEN 'annexe' THEN 0 WHEN 'titre' THEN 1 WHEN 'chapitre' THEN 2 WHEN 'article' THEN 3 WHEN 'unknown' THEN 3 ELSE 5 END) <= 3 AND end_num IS NULL AS valid FROM c")
@@ -412,7 +417,7 @@ def parent_match(spark, sf_dir):
     """Token rows [section][connector or other text][document] of every reference, matched by position."""
     base = table(spark, sf_dir, "section_references").select("doc_id", "ref_id").distinct()
     k = F.row_number().over(Window.partitionBy("doc_id").orderBy("ref_id"))
-    link = F.when(F.col("k") % 2 == 1, " mentionné au premier rang de l'").otherwise(" est annexé. ")
+    link = F.when(F.col("k") % 2 == 1, " mentionné au rang de l'").otherwise(" est annexé. ")
     parts = F.array(F.struct(F.lit("section").alias("kind"), F.lit("article 1").alias("text")), F.struct(F.lit("text").alias("kind"), link.alias("text")), F.struct(F.lit("document").alias("kind"), F.lit("arrêté").alias("text")))
     tokens = base.withColumn("k", k).select("doc_id", "k", F.posexplode(parts).alias("i", "p")).select("doc_id", (3 * F.col("k") - 2 + F.col("i")).alias("ordinal"), "p.kind", "p.text", F.lit(None).cast("string").alias("group_id"))
     matched = references.match_parents(tokens, ["doc_id"], "ordinal")

@@ -4,15 +4,32 @@ from __future__ import annotations
 
 import atexit
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers of all executors, once a session, through Spark's own file server."""
+    context = spark.sparkContext
+    if getattr(context, "_lexloom_shipped", False):
+        return
+    package = pathlib.Path(__file__).parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="lexloom-"), "lexloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, pathlib.Path(package.name) / path.relative_to(package))
+    context.addPyFile(archive)
+    context._lexloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
