@@ -73,7 +73,7 @@ def split_forms(text: str, common: set[str]) -> tuple[str, int, int, int, list[s
     """(running text, characters of list entries, of table rows, of all lines, the non-blank lines)."""
     lines = [x for x in text.splitlines() if x.strip()]
     kinds: list[str] = []
-    rows = [_table_row(x) for x in lines]
+    rows = [_table_row(x) for x in lines] if _CELLS.search(text) else [None] * len(lines)
     for i, line in enumerate(lines):
         near = (i and rows[i - 1] == rows[i]) or (i + 1 < len(lines) and rows[i + 1] == rows[i])
         if rows[i] and (near or rows[i] in "\t|"):
