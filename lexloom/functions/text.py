@@ -70,7 +70,7 @@ def recompose(text: Column) -> Column:
     out = text
     for word in ("arretent", "arrete", "vu"):
         spaced = r"\s".join(f"[{c}éêèÉÊÈ]" if c == "e" else c for c in word)
-        out = F.regexp_replace(out, rf"(?iu)(?<![\p{{L}}]|[\p{{L}}]\s)({spaced})(?!\s?[\p{{L}}](?:\s|$)|[\p{{L}}])", "\u0002$1\u0003")
+        out = F.regexp_replace(out, rf"(?iu)(?<!\p{{L}})(?<!(?<!\p{{L}})\p{{L}}\s)({spaced})(?!\s?[\p{{L}}](?:\s|$)|[\p{{L}}])", "\u0002$1\u0003")
     parts = F.split(out, "\u0002", -1)
     closed = F.transform(parts, lambda p: F.when(F.contains(p, F.lit("\u0003")), F.concat(F.regexp_replace(F.substring_index(p, "\u0003", 1), r"\s", ""), F.substring_index(p, "\u0003", -1))).otherwise(p))
     return F.when(F.contains(out, F.lit("\u0002")), F.array_join(closed, "")).otherwise(out)
