@@ -92,6 +92,7 @@ class Dictionary:
         self.words: dict[str, list[str]] = {}
         self.initials: dict[str, set[str]] = defaultdict(set)
         self.near: dict[str, set[tuple[str, str]]] = defaultdict(set)
+        self.longest = 0
         for title, cid in entries:
             flat = fold(title)
             content = self.content(flat)
@@ -101,6 +102,7 @@ class Dictionary:
             self.shapes[shape(" ".join(content))].add(cid)
             for form in {flat, " ".join(content)}:
                 if form:
+                    self.longest = max(self.longest, len(form))
                     self.full[form].add(cid)
                     for d in deletes(form, MAX_EDITS):
                         self.near[d].add((form, cid))
@@ -130,7 +132,7 @@ class Dictionary:
     def fuzzy(self, flat: str) -> str | None:
         """Bounded edit distance through common deletions, on the full form, else on the content words."""
         for form in dict.fromkeys((flat, " ".join(self.content(flat)))):
-            if len(form) < 4:
+            if not 4 <= len(form) <= self.longest + MAX_EDITS:  # no entry is within reach
                 continue
             seen = {hit for d in deletes(form, MAX_EDITS) for hit in self.near.get(d, ())}
             scored = [(weighted_distance(form, entry), cid) for entry, cid in seen]

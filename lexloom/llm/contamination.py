@@ -89,28 +89,32 @@ class Items:
         """(item, first word, behind the last word, kind) of every leak in a text; kind is run or whole."""
         ids = self.ids(_WORD.findall(composed(text)))
         n, grams = self.n, self.grams
-        hits: dict[tuple[int, int], tuple[int, int]] = {}
+        hits: list[tuple[int, int, int]] = []
         for i in range(0, len(ids) - n + 1, self.stride):
             if ids[i] >= 0:
                 found = grams.get(tuple(ids[i : i + n]))
                 if found:
-                    for key, j in found:
-                        hits.setdefault((key, i - j), (i, j))
+                    hits += [(key, i - j, i) for key, j in found]
         best: dict[int, tuple[int, int, int, str]] = {}
         tried: dict[int, list[int]] = {}
-        for (key, shift), (i, j) in sorted(hits.items()):
+        line, beyond = None, 0
+        for key, shift, i in sorted(hits):
             item = self.words[key]
-            a, b = i, j
-            while a > 0 and b > 0 and ids[a - 1] == item[b - 1]:
-                a, b = a - 1, b - 1
-            c, d = i, j
-            while c < len(ids) and d < len(item) and ids[c] == item[d]:
-                c, d = c + 1, d + 1
+            if (key, shift) != line:
+                line, beyond = (key, shift), 0
+            elif i < beyond:  # inside the run just measured on this diagonal
+                continue
+            a = c = i
+            while a > 0 and a > shift and ids[a - 1] == item[a - 1 - shift]:
+                a -= 1
+            while c < len(ids) and c - shift < len(item) and ids[c] == item[c - shift]:
+                c += 1
+            beyond = c
             if c - a >= min(RUN, len(item)):
                 leak = (key, a, c, "whole" if c - a == len(item) else "run")
             else:
                 slack = len(item) // EDITS
-                if any(abs(shift - t) <= slack // 2 for t in tried.get(key, ())) and key in best:
+                if shift in tried.get(key, ()):
                     continue
                 tried.setdefault(key, []).append(shift)
                 leak = self._whole(key, ids, item, shift, slack)
