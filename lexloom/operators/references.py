@@ -44,7 +44,8 @@ def acts(refs: DataFrame, keys: list[str]) -> DataFrame:
     head = F.regexp_extract("item", rf"^(.*?)(?:(?:du|en date du)\s+)?{G.DATE}", 1)
     where = F.when(F.col("item").rlike(G.DATE), head).otherwise(F.col("item"))
     numbered = F.regexp_extract(where, r"n\s*° ?\s*(\S+)", 1)
-    num = F.when(numbered != "", numbered).otherwise(F.regexp_extract(where, r"(\S+[/-]\S+)", 1))
+    bare = F.when(F.col("kind").isin("decree", "circular"), "").otherwise(F.regexp_extract(where, r"(\S+[/-]\S+)", 1))
+    num = F.when(numbered != "", numbered).otherwise(bare)
     return rows.select(*keys, "kind", "ordinal", "member", kind.alias("doc_type"), F.nullif(num, F.lit("")).alias("num"), date_of(F.col("item")).alias("doc_date"))
 
 
