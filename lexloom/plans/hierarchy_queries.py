@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexloom.operators.branches import with_root_document
 from lexloom.operators.hierarchy import hierarchy
 from lexloom.plans.registry import query
 from lexloom.runtime import table
@@ -63,3 +64,10 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trees(spark, sf_dir, with_paths=True).selectExpr(
         "doc_id", "element_id", "root", "depth", "array_join(path, '/') AS path", "in_cycle", "n_descendants"
     )
+
+
+@query("reference_branches", TREES_SQL.replace("SELECT e.doc_id, e.id AS element_id, p.cur AS root, CAST(len(p.path) - 1 AS BIGINT) AS depth,", "SELECT e.doc_id, e.id AS element_id, p.cur AS root, u.uri AS root_uri,").replace("array_to_string(p.path, '/') AS path, p.id IS NULL AS in_cycle, CAST(coalesce(b.n, 0) AS BIGINT) AS n_descendants", "array_to_string(p.path, '/') AS path") + " LEFT JOIN (SELECT doc_id, ltrim(regexp_extract(element_id, '(\\d+)', 1), '0') AS id, max(uri) AS uri FROM section_references GROUP BY 1, 2) u ON u.doc_id = e.doc_id AND u.id = p.cur")
+def reference_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reference with its chain up to the root and the root's identifier."""
+    out = with_root_document(table(spark, sf_dir, "section_references"), "doc_id", "element_id", "parent_reference", "detected_at")
+    return out.selectExpr("doc_id", "element_id", "root", "root_uri", "array_join(path, '/') AS path")
