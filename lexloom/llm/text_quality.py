@@ -105,38 +105,72 @@ def split_forms(text: str, common: set[str]) -> tuple[str, int, int, int, list[s
     return running, chars["list"], chars["table"], sum(chars.values()), lines
 
 
+_SEEN: dict[str, tuple] = {}  # what a token holds; tokens recur across documents
+_SEEN_BOUND = 300_000
+
+
+def _token(token: str) -> tuple:
+    """(words in lower case, their letters, unusual signs, digits, odd or not) of one token."""
+    hit = _SEEN.get(token)
+    if hit is None:
+        if len(_SEEN) > _SEEN_BOUND:
+            _SEEN.clear()
+        words = tuple(_WORD.findall(token.lower()))
+        odd = not _USUAL.fullmatch(token) and bool(_ODD.search(token))
+        hit = (words, sum(map(len, words)), len(_UNUSUAL.findall(token)), len(_DIGIT.findall(token)), odd)
+        if len(token) < 60:
+            _SEEN[token] = hit
+    return hit
+
+
+def _profile(text: str) -> tuple[Counter, int, int, int, int, int]:
+    """Word counts, letters, unusual signs, digits, odd tokens and tokens of a text."""
+    words: Counter = Counter()
+    letters = signs = digits = odd = 0
+    tokens = text.split()
+    seen = _SEEN.get
+    for token, k in Counter(tokens).items():
+        own, n, u, d, o = seen(token) or _token(token)
+        for w in own:
+            words[w] += k
+        letters += n * k
+        signs += u * k
+        digits += d * k
+        odd += o * k
+    return words, letters, signs, digits, odd, len(tokens)
+
+
 def statistics(text: str | None, common: dict[str, set[str]], every: set[str]) -> dict:
     """All statistics of one text; ``every`` is the union of the languages' common words."""
     text = text or ""
     running, in_list, in_table, total, lines = split_forms(text, every)
-    words_all = _WORD.findall(text.lower())
-    length_all = sum(map(len, words_all))
+    whole = _profile(text)
+    n_all = sum(whole[0].values())
     body = running if len(running) >= 0.2 * max(total, 1) else text
-    words = words_all if in_list + in_table == 0 else _WORD.findall(body.lower())
-    n = max(len(words), 1)
-    tally = Counter(words)
+    tally, letters, signs, digits, odd, tokens = whole if in_list + in_table == 0 or body is text else _profile(body)
+    words = sum(tally.values())
+    n = max(words, 1)
     known = {lang: sum(tally[w] for w in usual if w in tally) / n for lang, usual in common.items()}
     lang = max(known, key=lambda k: (known[k], k)) if known else None
-    tokens = body.split()
     chars = max(len(body), 1)
-    pairs = Counter(zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else Counter()
-    top = max(tally.values(), default=0) / n
-    again = sum(c for c in pairs.values() if c > 2) / max(sum(pairs.values()), 1)
     flow = " ".join(body.split("\n"))
-    in_sentences = sum(len(s) for s in _BREAK.split(flow.rstrip()) if s.count(" ") >= 4 and len(s) < 700 and s[-1] in ".;!?")
+    said = Counter(_BREAK.split(flow.rstrip()))
+    in_sentences = sum(len(s) * k for s, k in said.items() if s.count(" ") >= 4 and len(s) < 700 and s[-1] in ".;!?")
+    again = sum(len(s) * k for s, k in said.items() if k > 3) / chars
+    top = max(tally.values(), default=0) / n
     return {
-        "words": len(words_all),
+        "words": n_all,
         "lines": len(lines),
-        "mean_word_length": length_all / max(len(words_all), 1),
+        "mean_word_length": whole[1] / max(n_all, 1),
         "lines_with_end": sum(bool(_ENDS.search(x)) for x in lines) / max(len(lines), 1),
         "guessed": lang if lang and known[lang] >= 0.1 else None,
-        "word_length": min((length_all if words is words_all else sum(map(len, words))) / n, 20.0),
-        "symbols": len(_UNUSUAL.findall(body)) / chars,
-        "digits": len(_DIGIT.findall(body)) / chars,
+        "word_length": min(letters / n, 20.0),
+        "symbols": signs / chars,
+        "digits": digits / chars,
         "common": known[lang] if lang else 0.0,
         "repeated": max(0.0, top - 0.12) + max(0.0, again - 0.35),
         "sentences": min(1.0, in_sentences / chars),
-        "odd_words": sum(k for t, k in Counter(tokens).items() if not _USUAL.fullmatch(t) and _ODD.search(t)) / max(len(tokens), 1),
+        "odd_words": odd / max(tokens, 1),
         "list_share": in_list / max(total, 1),
         "table_share": in_table / max(total, 1),
     }
