@@ -47,6 +47,15 @@ def sure_run(length: int) -> int:
     return max(1, min(RUN, -(-(length - k) // (k + 1))))
 
 
+def _maximal(found: set[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that lie in no other one, in order; of equal spans the whole copy."""
+    out: list[tuple[int, int, str]] = []
+    for a, e, kind in sorted(found, key=lambda s: (s[0], -s[1], s[2] != "whole")):
+        if not out or e > out[-1][1]:
+            out.append((a, e, kind))
+    return out
+
+
 class Items:
     """Test items as word ids, their n-grams in a hash set."""
 
@@ -86,7 +95,7 @@ class Items:
         return out
 
     def scan(self, text: str) -> list[tuple[int, int, int, str]]:
-        """(item, first word, behind the last word, kind) of every leak in a text; kind is run or whole."""
+        """(item, first word, behind the last word, kind) of every maximal span of an item in a text; kind is run or whole."""
         ids = self.ids(_WORD.findall(composed(text)))
         n, grams = self.n, self.grams
         hits: list[tuple[int, int, int]] = []
@@ -95,13 +104,12 @@ class Items:
                 found = grams.get(tuple(ids[i : i + n]))
                 if found:
                     hits += [(key, i - j, i) for key, j in found]
-        best: dict[int, tuple[int, int, int, str]] = {}
-        tried: dict[int, list[int]] = {}
-        line, beyond = None, 0
+        spans_of: dict[int, set[tuple[int, int, str]]] = {}
+        line, beyond, aligned = None, 0, False
         for key, shift, i in sorted(hits):
             item = self.words[key]
             if (key, shift) != line:
-                line, beyond = (key, shift), 0
+                line, beyond, aligned = (key, shift), 0, False
             elif i < beyond:  # inside the run just measured on this diagonal
                 continue
             a = c = i
@@ -111,19 +119,16 @@ class Items:
                 c += 1
             beyond = c
             if c - a >= min(RUN, len(item)):
-                leak = (key, a, c, "whole" if c - a == len(item) else "run")
-            else:
-                slack = len(item) // EDITS
-                if shift in tried.get(key, ()):
-                    continue
-                tried.setdefault(key, []).append(shift)
-                leak = self._whole(key, ids, item, shift, slack)
-            if leak and (key not in best or leak[2] - leak[1] > best[key][2] - best[key][1]):
-                best[key] = leak
-        return sorted(best.values())
+                spans_of.setdefault(key, set()).add((a, c, "whole" if c - a == len(item) else "run"))
+            if c - a < len(item) and not aligned:  # a run may be part of an edited copy of the whole item
+                aligned = True
+                leak = self._whole(ids, item, shift, len(item) // EDITS)
+                if leak:
+                    spans_of.setdefault(key, set()).add(leak)
+        return [(key, *span) for key in sorted(spans_of) for span in _maximal(spans_of[key])]
 
     @staticmethod
-    def _whole(key: int, ids: list[int], item: list[int], shift: int, slack: int) -> tuple | None:
+    def _whole(ids: list[int], item: list[int], shift: int, slack: int) -> tuple | None:
         """The whole item with at most ``slack`` word edits near a shift: banded alignment, free ends in the document."""
         if not slack:
             return None
@@ -154,7 +159,7 @@ class Items:
                 return None
             rows = fresh
         cost, end = min((c, e) for e, (c, _) in enumerate(rows))
-        return (key, lo + rows[end][1], lo + end, "whole") if cost <= slack else None
+        return (lo + rows[end][1], lo + end, "whole") if cost <= slack else None
 
 
 _LEAKS = T.StructType(
@@ -189,9 +194,9 @@ def _scan_block(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Every (document, item) leak: doc_id, item_id, first_word, end_word, kind, first_char, end_char (in the composed text).
+    """Every leaked span: doc_id, item_id, first_word, end_word, kind, first_char, end_char (in the composed text).
 
-    The longest leak of an item in a document is reported. Items come to the workers in blocks of bounded size; each
+    An item found in several places of a document gives a row for each maximal span; spans of one item may overlap. Items come to the workers in blocks of bounded size; each
     block is one scan of the documents. Defined cases: null or empty texts and items without words leak nothing; an
     item shorter than 20 words leaks as a whole only; repeated rows give the same leak once; empty tables give an
     empty result; extra columns are ignored whatever their names.
@@ -208,7 +213,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents with their leaked spans cut out: doc_id, text, n_leaks. Documents without a leak stay as they are."""
+    """The documents with all their leaked spans cut out: doc_id, text, n_leaks (spans of all items). Documents without a leak stay as they are."""
     cuts = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_char", "end_char"))).alias("cuts"))
 
     def cut_out(texts, all_cuts):

@@ -104,7 +104,7 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
 @query

@@ -4,6 +4,7 @@ import random
 
 from lexloom.llm.contamination import Items, leaks, sure_run, without_leaks
 from lexloom.llm.mixing import mix, plan, poisson_steps, shares, solve_rate
+from lexloom.llm.queries import QUERIES
 from lexloom.llm.scan_repair import Channel, correct, is_page_number, mark, noise, paragraphs
 from lexloom.llm.text_quality import judged
 
@@ -83,6 +84,44 @@ def test_leak_tables(spark):
     assert leaks(docs, items.limit(0)).count() == 0 and leaks(docs.limit(0), items).count() == 0
 
 
+def test_every_copy_is_cut(spark, tmp_path):
+    words = [f"w{i}" for i in range(50)]
+    passage, edited = " ".join(words), " ".join([*words[:24], "neuf", *words[25:]])
+    filler = " ".join(f"x{i}" for i in range(70))
+    rows = [(1, f"a {passage} b {filler} {passage} c"), (2, f"a {edited} b"), (3, f"a {' '.join(words[5:30])} b {' '.join(words[20:45])} c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    found = QUERIES["p7_found"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(1, 7), (2, 7), (3, 7)]
+    got = {r["doc_id"]: (r["text"], r["n_leaks"]) for r in QUERIES["p7_clean"](spark, str(tmp_path)).collect()}
+    assert got == {1: (f"a  b {filler}  c", 2), 2: ("a  b", 1), 3: ("a  b  c", 2)}
+
+
+def test_no_run_is_left():
+    rng = random.Random(8)
+    vocabulary = [f"mot{i}" for i in range(200)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([12, 25, 60])))) for k in range(20)]
+    book = Items(items)
+    for _ in range(100):
+        doc: list[str] = []
+        for key, text in rng.choices(items[:4], k=4):
+            words = text.split()
+            if len(words) > 40 and rng.random() < 0.5:
+                words[rng.randrange(20, 40)] = "neuf"
+            doc += rng.choices(vocabulary, k=10) + words
+        ids = book.ids(doc)
+        spans = book.scan(" ".join(doc))
+        for key, a, e, _ in spans:
+            ids[a:e] = [-1] * (e - a)
+        assert not any(brute_run(ids, item) for item in book.words.values())
+
+
+def brute_run(ids, item):
+    grams = {tuple(item[j : j + 20]) for j in range(max(1, len(item) - 19))}
+    n = min(20, len(item))
+    return any(tuple(ids[i : i + n]) in grams for i in range(len(ids) - n + 1))
+
+
 def test_poisson_rates():
     assert [round(x, 4) for x in poisson_steps(1.0, 3)] == [0.3679, 0.7358, 0.9197]
     buckets = {b: 10 for b in range(4096)}
