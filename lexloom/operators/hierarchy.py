@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lexloom.runtime import cut, latest
 
 MAX_PASSES = 400  # a safety net: expected passes are O(log n)
+NO_SCOPE = "\u0000"  # stands for a null scope
 
 
 def bare_number(value: Column) -> Column:
@@ -24,7 +25,10 @@ def bare_number(value: Column) -> Column:
 
 
 def _contract(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """``edges``: scope, id, parent (null for roots). Returns removals by pass, and the surviving roots and loop cores."""
+    """``edges``: scope, id, parent (null for roots). Returns removals by pass, and the surviving roots and loop cores.
+
+    ``seg`` of a core holds the other nodes of its loop, from the one below the core down to the core's parent.
+    """
     active = edges.select(
         "scope", "id", "parent", F.lit(1).cast("long").alias("w"), F.array().cast("array<string>").alias("seg")
     )
@@ -55,7 +59,7 @@ def _contract(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         if tally["gone"]:
             removed.append(marked.where("fate <> 'keep'").select("scope", "id", "parent", "w", "seg"))
         if not tally["open"]:
-            return removed, marked.where("fate = 'keep'").select("scope", "id", "parent")
+            return removed, marked.where("fate = 'keep'").select("scope", "id", "parent", "seg")
         spliced = marked.where("fate = 'splice'").select(
             "scope", F.col("id").alias("parent"), F.col("parent").alias("up"), F.col("w").alias("up_w"), F.col("seg").alias("up_seg")
         )
@@ -71,15 +75,15 @@ def _contract(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     raise RuntimeError("tree contraction did not converge")
 
 
-def _expand(removed: list[DataFrame], core: DataFrame, with_paths: bool) -> DataFrame:
-    """Replay the removals backwards from the surviving roots and cores."""
+def _expand(removed: list[DataFrame], core: DataFrame, with_paths: bool, from_cores: bool = False) -> DataFrame:
+    """Replay the removals backwards from the surviving roots and cores; ``from_cores``: paths start at cores too."""
     rooted = F.col("parent").isNull()
     done = core.select(
         "scope",
         "id",
         F.when(rooted, F.col("id")).alias("root"),
         F.when(rooted, F.lit(0).cast("long")).alias("depth"),
-        F.when(rooted & F.lit(with_paths), F.array("id")).alias("path"),
+        F.when((rooted | F.lit(from_cores)) & F.lit(with_paths), F.array("id")).alias("path"),
         (~rooted).alias("in_cycle"),
     )
     for batch in reversed(removed):
@@ -98,6 +102,23 @@ def _expand(removed: list[DataFrame], core: DataFrame, with_paths: bool) -> Data
     return done
 
 
+def _edges(df: DataFrame, scope: str, node: str, parent: str, order: str) -> DataFrame:
+    """Every node once with the parent it has in its scope: scope, id, parent."""
+    rows = df.select(
+        F.coalesce(F.col(f"`{scope}`").cast("string"), F.lit(NO_SCOPE)).alias("scope"),
+        bare_number(F.col(f"`{node}`")).alias("id"),
+        bare_number(F.col(f"`{parent}`")).alias("parent"),
+        F.col(f"`{order}`").alias("at"),
+    ).where("id is not null")
+    rows = cut(latest(rows, ["scope", "id"], "at").drop("at"))
+    known = rows.select("scope", F.col("id").alias("parent"), F.lit(True).alias("known"))
+    return rows.join(known, ["scope", "parent"], "left").select("scope", "id", F.when(F.col("known"), F.col("parent")).alias("parent"))
+
+
+def _given_scope() -> Column:
+    return F.when(F.col("scope") != NO_SCOPE, F.col("scope"))
+
+
 def hierarchy(df: DataFrame, scope: str, node: str, parent: str, order: str, with_paths: bool = True) -> DataFrame:
     """Root, depth, path and descendants of every node of the forests in ``df``.
 
@@ -106,28 +127,19 @@ def hierarchy(df: DataFrame, scope: str, node: str, parent: str, order: str, wit
     node), ``in_cycle``, ``n_descendants``.
 
     Defined cases: a null, empty or non-existent parent ends the chain, so the node is a root; a node on a loop or
-    leading into one has null root, depth and path, and ``in_cycle``; ids without any digit form no node and give no
+    leading into one has null root, depth and path, and ``in_cycle``, and no
+    ``n_descendants`` (see ``all_descendants``); ids without any digit form no node and give no
     row; repeated rows count once (the last by ``order``); a null scope is a scope of its own; an empty table gives
     an empty result; extra columns are ignored whatever their names.
     """
-    none = "\u0000"
-    rows = df.select(
-        F.coalesce(F.col(f"`{scope}`").cast("string"), F.lit(none)).alias("scope"),
-        bare_number(F.col(f"`{node}`")).alias("id"),
-        bare_number(F.col(f"`{parent}`")).alias("parent"),
-        F.col(f"`{order}`").alias("at"),
-    ).where("id is not null")
-    rows = cut(latest(rows, ["scope", "id"], "at").drop("at"))
-    known = rows.select("scope", F.col("id").alias("parent"), F.lit(True).alias("known"))
-    edges = rows.join(known, ["scope", "parent"], "left").select("scope", "id", F.when(F.col("known"), F.col("parent")).alias("parent"))
-    removed, core = _contract(edges)
+    removed, core = _contract(_edges(df, scope, node, parent, order))
     done = _expand(removed, core, with_paths)
     if with_paths:
         below = descendants(done).groupBy("scope", F.col("ancestor").alias("id")).agg(F.count("*").alias("n_descendants"))
         done = done.join(below, ["scope", "id"], "left").withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0).cast("long")))
     else:
         done = done.drop("path")
-    return done.withColumn("scope", F.when(F.col("scope") != none, F.col("scope"))).withColumnsRenamed({"scope": scope, "id": node})
+    return done.withColumn("scope", _given_scope()).withColumnsRenamed({"scope": scope, "id": node})
 
 
 def descendants(placed: DataFrame, scope: str = "scope", node: str = "id") -> DataFrame:
@@ -139,6 +151,26 @@ def descendants(placed: DataFrame, scope: str = "scope", node: str = "id") -> Da
     )
 
 
+def all_descendants(df: DataFrame, scope: str, node: str, parent: str, order: str) -> DataFrame:
+    """All descendants of every node, on and below loops too: one row per (scope, node, descendant) with ``distance``.
+
+    ``distance`` is the least number of steps up from the descendant to the node. On a loop every node is a
+    descendant of all others, and whatever hangs off the loop is a descendant of all its nodes; no node is its own
+    descendant. Ids, deliveries and scopes are taken as in ``hierarchy``.
+    """
+    removed, core = _contract(_edges(df, scope, node, parent, order))
+    done = _expand(removed, core, True, from_cores=True)
+    loops = core.where("parent is not null").select("scope", F.col("id").alias("_core"), F.concat(F.array("id"), "seg").alias("_loop"))
+    looped = done.where("in_cycle").withColumn("_core", F.element_at("path", 1)).join(loops, ["scope", "_core"])
+    # up from the node: its path back to the core, then the part of the loop the path has not been through
+    up = F.reverse(F.slice("path", 1, F.size("path") - 1))
+    chains = done.where("not in_cycle").select("scope", "id", up.alias("up")).unionByName(
+        looped.select("scope", "id", F.concat(up, F.reverse(F.array_except("_loop", "path"))).alias("up"))
+    )
+    pairs = chains.select("scope", F.col("id").alias("descendant"), F.posexplode("up").alias("at", "id"))
+    return pairs.select(_given_scope().alias(scope), F.col("id").alias(node), "descendant", (F.col("at") + 1).cast("long").alias("distance"))
+
+
 def brute_force(rows: list[tuple], limit: int = 100_000) -> dict:
     """Chain-walking reference for tests: {(scope, id): (root, depth, path) or None on a loop}."""
     parents = dict(((s, i), p) for s, i, p in rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.operators.branches import with_root_document
-from lexloom.operators.hierarchy import hierarchy
+from lexloom.operators.hierarchy import all_descendants, hierarchy
 from lexloom.plans.registry import query
 from lexloom.runtime import table
 
@@ -47,6 +47,9 @@ FROM edges e LEFT JOIN placed p ON p.doc_id = e.doc_id AND p.id = e.id
 LEFT JOIN below b ON b.doc_id = e.doc_id AND b.id = e.id"""
 )
 
+BELOW_SQL = _WALK + """SELECT doc_id, cur AS element_id, id AS descendant, CAST(min(len(path) - 1) AS BIGINT) AS distance
+FROM walk WHERE cur <> id GROUP BY 1, 2, 3"""
+
 
 def _trees(spark: SparkSession, sf_dir: str, with_paths: bool) -> DataFrame:
     return hierarchy(
@@ -66,6 +69,12 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("p5_descendants", BELOW_SQL)
+def below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of each reference, those on and below loops included."""
+    return all_descendants(table(spark, sf_dir, "section_references"), "doc_id", "element_id", "parent_reference", "detected_at")
+
+
 @query("reference_branches", TREES_SQL.replace("SELECT e.doc_id, e.id AS element_id, p.cur AS root, CAST(len(p.path) - 1 AS BIGINT) AS depth,", "SELECT e.doc_id, e.id AS element_id, p.cur AS root, u.uri AS root_uri,").replace("array_to_string(p.path, '/') AS path, p.id IS NULL AS in_cycle, CAST(coalesce(b.n, 0) AS BIGINT) AS n_descendants", "array_to_string(p.path, '/') AS path") + " LEFT JOIN (SELECT doc_id, ltrim(regexp_extract(element_id, '(\\d+)', 1), '0') AS id, max(uri) AS uri FROM section_references GROUP BY 1, 2) u ON u.doc_id = e.doc_id AND u.id = p.cur")
 def reference_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each reference with its chain up to the root and the root's identifier."""

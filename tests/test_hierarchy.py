@@ -2,7 +2,7 @@
 
 import random
 
-from lexloom.operators.hierarchy import brute_force, descendants, hierarchy
+from lexloom.operators.hierarchy import all_descendants, brute_force, descendants, hierarchy
 
 SCHEMA = "doc string, node string, up string, at int, root string"
 
@@ -53,3 +53,20 @@ def test_descendant_pairs(spark):
     df = spark.createDataFrame([("d", str(i), str(i - 1), 1, "") for i in range(1, 5)], SCHEMA)
     pairs = descendants(hierarchy(df, "doc", "node", "up", "at"), "doc", "node").collect()
     assert {(r["ancestor"], r["descendant"], r["distance"]) for r in pairs} == {(str(a), str(b), b - a) for a in range(1, 5) for b in range(a + 1, 5)}
+
+
+def test_descendants_on_and_below_loops(spark):
+    rng = random.Random(6)
+    rows = [(d, str(i), str(rng.randint(1, 44)), 1, "") for d in "abc" for i in range(1, 41)]
+    rows += [("l", str(i), str(i % 30 + 1), 1, "") for i in range(1, 31)] + [("l", "99", "7", 1, ""), ("l", "98", "99", 1, ""), (None, "1", "1", 1, ""), (None, "2", "1", 1, "")]
+    got = all_descendants(spark.createDataFrame(rows, SCHEMA), "doc", "node", "up", "at").collect()
+    parents = {(d, n): u for d, n, u, _, _ in rows}
+    want = set()
+    for d, n in parents:
+        cur, seen = parents[d, n], {n}
+        while (d, cur) in parents and cur not in seen:
+            want.add((d, cur, n, len(seen)))
+            seen.add(cur)
+            cur = parents[d, cur]
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert all_descendants(spark.createDataFrame([], SCHEMA), "doc", "node", "up", "at").count() == 0
