@@ -5,7 +5,7 @@ import random
 from lexloom.llm.contamination import Items, leaks, sure_run, without_leaks
 from lexloom.llm.mixing import mix, plan, poisson_steps, shares, solve_rate
 from lexloom.llm.queries import QUERIES
-from lexloom.llm.scan_repair import Channel, correct, is_page_number, mark, noise, paragraphs
+from lexloom.llm.scan_repair import BLOCK, Channel, correct, is_page_number, mark, marked_lines, noise, paragraphs
 from lexloom.llm.text_quality import judged
 
 WORDS = {"conserve": 500, "le": 900, "registre": 400, "exploitant": 450, "mesure": 300, "période": 200, "périodes": 120, "contrôle": 350}
@@ -25,6 +25,23 @@ def test_page_numbers():
     assert not any(map(is_page_number, ["2013 ;", "1997.", "- 3 ans", "°C.", "L.", "", "Article 3"]))
 
 
+def test_long_page_numbers():
+    assert is_page_number("page 1043") and is_page_number("1043", 1200) and is_page_number("12 / 1200", 1200)
+    assert not is_page_number("2013", 40) and not is_page_number("n° 2013", 40)
+
+
+def test_order_of_several_blocks(spark):
+    lines = [(1 + i // 50, "exploitant conserve") for i in range(2 * BLOCK + 500)]
+    for page in (3, 100, 150):
+        lines[50 * page - 50] = (page, "Direction du Nelbre")
+    lines[0] = (1, "Direction du Nelbre")
+    for page in (20, 90, 170):
+        lines[50 * page - 1] = (page, "Suivi Vorlan - Tombrec")
+    df = spark.createDataFrame([(i, "d", p, i, t) for i, (p, t) in enumerate(lines)], "seg_id long, doc_id string, page int, line_no long, contents string")
+    got = {r["seg_id"] for r in marked_lines(df).where("role = 'header'").collect()}
+    assert got == {100, 4950, 7450, 999, 4499, 8499}
+
+
 def test_marks_of_a_page():
     lines = [(1, "PRÉFECTURE DE X"), (1, "le con-"), (1, "page 1/2"), (2, "Dossier 0052796055 / Nelbre"), (2, "trôle fait"), (2, None), (2, "remis :"), (2, "23"), (2, "page 2/2")]
     got = mark(lines, Channel(WORDS, {}, 10_000))
