@@ -38,8 +38,7 @@ TREES_SQL = (
   SELECT w.doc_id, w.id, w.path, w.cur FROM walk w JOIN edges e ON e.doc_id = w.doc_id AND e.id = w.cur
   WHERE e.parent IS NULL
 ), below AS (
-  SELECT doc_id, cur AS id, count(*) AS n FROM walk
-  WHERE cur <> id AND (doc_id, id) IN (SELECT (doc_id, id) FROM placed) GROUP BY 1, 2
+  SELECT doc_id, cur AS id, count(DISTINCT id) AS n FROM walk WHERE cur <> id GROUP BY 1, 2
 )
 SELECT e.doc_id, e.id AS element_id, p.cur AS root, CAST(len(p.path) - 1 AS BIGINT) AS depth,
   array_to_string(p.path, '/') AS path, p.id IS NULL AS in_cycle, CAST(coalesce(b.n, 0) AS BIGINT) AS n_descendants
