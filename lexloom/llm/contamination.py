@@ -1,18 +1,21 @@
 """Held-out evaluation passages found in training documents.
 
-The normalised word n-grams of the test items go into a broadcast hash set; every document's windows are scanned and
+The normalised word n-grams of the test items go into broadcast hash tables; every document's windows are scanned and
 each hit is verified word by word. The windows are laid so that none can be missed: an item with at most one word in
 ten edited still has a run of unchanged words of a length that follows from its own length, and every such run holds
-a window that starts on the scanning grid.
+a window that starts on the scanning grid. Items are grouped by that length, each group with a window and a grid of
+its own, so a short item does not make the scan for long ones finer. Items of fewer than ten words allow no edit; they
+are looked up whole.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +23,12 @@ from pyspark.sql import types as T
 
 RUN = 20  # so many consecutive words of an item are a leak
 EDITS = 10  # one word in so many may be changed, dropped or added in a whole item
-BLOCK_ITEMS = 20_000  # items broadcast at once; more items are taken block by block
-BLOCK_CHARS = 64_000_000  # and so many characters of them
+BLOCK_ITEMS = 20_000  # items in one broadcast; more items come in several
+BLOCK_CHARS = 16_000_000  # and so many characters of them, which make about 2.5 million windows of 20 bytes
 
 _WORD = re.compile(r"[^\W_]+")
+_TYPED = re.compile(r"\S+")
+_P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fold(word: str) -> str:
@@ -47,6 +52,11 @@ def sure_run(length: int) -> int:
     return max(1, min(RUN, -(-(length - k) // (k + 1))))
 
 
+def typed(text: str) -> list[list[str]]:
+    """The words of a text, those typed without a space between them together ("Saint-Aubrelin", "l'eau")."""
+    return [own for t in _TYPED.findall(text) if (own := [fold(w) for w in _WORD.findall(t)])]
+
+
 def _maximal(found: set[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The spans that lie in no other one, in order; of equal spans the whole copy."""
     out: list[tuple[int, int, str]] = []
@@ -56,30 +66,60 @@ def _maximal(found: set[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
+def _hashes(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` word ids from each position of ``at`` on."""
+    h = np.zeros(len(at), dtype=np.uint64)
+    for j in range(n):
+        h = (h + ids[at + j].astype(np.uint64) + np.uint64(1)) * _P
+        h ^= h >> np.uint64(29)
+    return h
+
+
+class Table:
+    """The n-grams of the items of one group, sorted by hash; scanned on every ``stride``-th window of a document."""
+
+    def __init__(self, members: list[tuple[int, np.ndarray]], n: int, stride: int):
+        self.n, self.stride = n, stride
+        keys = np.concatenate([np.full(len(w) - n + 1, k, dtype=np.int64) for k, w in members])
+        places = np.concatenate([np.arange(len(w) - n + 1, dtype=np.int64) for _, w in members])
+        hashes = np.concatenate([_hashes(w, np.arange(len(w) - n + 1), n) for _, w in members])
+        order = np.argsort(hashes, kind="stable")
+        self.keys, self.places, self.hashes = keys[order], places[order], hashes[order]
+
+    def hits(self, ids: np.ndarray, ends: np.ndarray, starts: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, position in the item) of every window on the grid that an item holds. ``starts`` and
+        ``ends``: where the document of each word begins and ends; ``gaps``: words of no item up to each position."""
+        at = np.arange(max(0, len(ids) - self.n + 1))
+        at = at[((at - starts[at]) % self.stride == 0) & (at + self.n <= ends[at])]
+        at = at[gaps[at + self.n] == gaps[at]]
+        h = _hashes(ids, at, self.n)
+        low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        n = high - low
+        at, low, n = at[n > 0], low[n > 0], n[n > 0]
+        row = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), self.keys[row], self.places[row]
+
+
 class Items:
-    """Test items as word ids, their n-grams in a hash set."""
+    """Test items as word ids, with a table of n-grams for each length of sure run."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
-        self.fresh = 0
         self.words: dict[int, list[int]] = {}
-        for key, text in items:
-            ids = [self._learn(fold(w)) for w in _WORD.findall(composed(text or ""))]
-            if ids:
-                self.words[key] = ids
-        self.known = len(self.vocabulary)
+        self.typed: dict[int, list[tuple[int, ...]]] = {}
+        self.run: dict[int, int] = {}
         self.raw: dict[str, int] = {}
-        runs = [sure_run(len(w)) for w in self.words.values()]
-        least = min(runs, default=1)
-        self.n = max(1, (least + 2) // 2)
-        self.stride = max(1, least - self.n + 1)
-        self.grams: dict[tuple, list[tuple[int, int]]] = {}
-        for key, ids in self.words.items():
-            for j in range(len(ids) - self.n + 1):
-                self.grams.setdefault(tuple(ids[j : j + self.n]), []).append((key, j))
-
-    def _learn(self, word: str) -> int:
-        return self.vocabulary.setdefault(word, len(self.vocabulary))
+        groups: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        for key, text in items:
+            tokens = [tuple(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in t) for t in typed(composed(text or ""))]
+            ids = [i for t in tokens for i in t]
+            if not ids:
+                continue
+            self.words[key], self.typed[key] = ids, tokens
+            run = self.run[key] = min(sure_run(len(ids)), sure_run(len(tokens)))
+            n = len(ids) if len(ids) < EDITS else (run + 2) // 2
+            groups.setdefault((n, 1 if len(ids) < EDITS else run - n + 1), []).append((key, np.array(ids, dtype=np.int64)))
+        self.tables = [Table(members, n, stride) for (n, stride), members in groups.items()]
 
     def ids(self, words: list[str]) -> list[int]:
         """Word ids; words of no item are -1."""
@@ -96,15 +136,28 @@ class Items:
 
     def scan(self, text: str) -> list[tuple[int, int, int, str]]:
         """(item, first word, behind the last word, kind) of every maximal span of an item in a text; kind is run or whole."""
-        ids = self.ids(_WORD.findall(composed(text)))
-        n, grams = self.n, self.grams
-        hits: list[tuple[int, int, int]] = []
-        for i in range(0, len(ids) - n + 1, self.stride):
-            if ids[i] >= 0:
-                found = grams.get(tuple(ids[i : i + n]))
-                if found:
-                    hits += [(key, i - j, i) for key, j in found]
+        return self.scan_all([text])[0]
+
+    def scan_all(self, texts: list[str]) -> list[list[tuple[int, int, int, str]]]:
+        """``scan`` of many texts, the windows of all of them hashed at once."""
+        each = [self.ids(_WORD.findall(composed(t))) for t in texts]
+        sizes = np.array([len(x) for x in each], dtype=np.int64)
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        ids = np.array([i for x in each for i in x], dtype=np.int64)
+        starts, ends = np.repeat(bounds[:-1], sizes), np.repeat(bounds[1:], sizes)
+        gaps = np.concatenate(([0], np.cumsum(ids < 0)))
+        hits: dict[int, list[tuple[int, int, int]]] = {}
+        for table in self.tables:
+            at, keys, places = table.hits(ids, ends, starts, gaps)
+            docs = np.searchsorted(bounds, at, "right") - 1
+            own = at - bounds[docs]
+            for d, k, shift, i in zip(docs.tolist(), keys.tolist(), (own - places).tolist(), own.tolist(), strict=True):
+                hits.setdefault(d, []).append((k, shift, i))
+        return [self._leaks(t, x, hits[d]) if d in hits else [] for d, (t, x) in enumerate(zip(texts, each, strict=True))]
+
+    def _leaks(self, text: str, ids: list[int], hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
         spans_of: dict[int, set[tuple[int, int, str]]] = {}
+        tokens: list | None = None
         line, beyond, aligned = None, 0, False
         for key, shift, i in sorted(hits):
             item = self.words[key]
@@ -120,13 +173,44 @@ class Items:
             beyond = c
             if c - a >= min(RUN, len(item)):
                 spans_of.setdefault(key, set()).add((a, c, "whole" if c - a == len(item) else "run"))
-            if c - a < len(item) and not aligned:  # a run may be part of an edited copy of the whole item
+            if self.run[key] <= c - a < len(item) and not aligned:  # a run may be part of an edited copy of the whole item
                 aligned = True
                 leak = self._whole(ids, item, shift, len(item) // EDITS)
+                if not leak and self._likely(ids, key, shift):
+                    tokens = tokens or self._typed(text)
+                    leak = self._whole_typed(tokens, key, shift)
                 if leak:
                     spans_of.setdefault(key, set()).add(leak)
         return [(key, *span) for key in sorted(spans_of) for span in _maximal(spans_of[key])]
 
+    def _likely(self, ids: list[int], key: int, shift: int) -> bool:
+        """Whether enough of an item's words typed together are near a shift at all."""
+        tokens = self.typed[key]
+        length = len(self.words[key])
+        present = set(ids[max(0, shift - length // 2) : shift + length + length // 2])
+        return len(tokens) < length and sum(present.issuperset(t) for t in tokens) >= len(tokens) - len(tokens) // EDITS
+
+    def _typed(self, text: str) -> tuple[list[tuple[int, ...]], list[int]]:
+        """(words typed together, where each begins and the last ends)."""
+        tokens = [tuple(self.vocabulary.get(w, -1) for w in t) for t in typed(composed(text))]
+        at = [0]
+        for t in tokens:
+            at.append(at[-1] + len(t))
+        return tokens, at
+
+    def _whole_typed(self, tokens: tuple, key: int, shift: int) -> tuple | None:
+        """The whole item where words typed together ("Saint-Aubrelin-le-Haut") are one word, changed or dropped at once."""
+        words, at = tokens
+        item = self.typed[key]
+        near = int(np.searchsorted(at, max(shift, 0), "right")) - 1
+        known: dict[tuple, int] = {}
+        code = lambda t: known.setdefault(t, len(known))
+        slack = len(item) // EDITS
+        lo = max(0, near - 3 * slack)
+        window = [code(t) for t in words[lo : near + len(item) + 3 * slack]]
+        leak = self._whole(window, [code(t) for t in item], near - lo, slack)
+        return leak and (at[lo + leak[0]], at[lo + leak[1]], leak[2])
+
     @staticmethod
     def _whole(ids: list[int], item: list[int], shift: int, slack: int) -> tuple | None:
         """The whole item with at most ``slack`` word edits near a shift: banded alignment, free ends in the document."""
@@ -176,19 +260,33 @@ _LEAKS = T.StructType(
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("end_word", pa.int32()), ("kind", pa.string()), ("first_char", pa.int32()), ("end_char", pa.int32())])
 
 
-def _scan_block(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(items)
+_books: dict[str, Items] = {}  # of this worker; one at a time, so its memory is bounded by one block
+
+
+def _book(token: str, items: list[tuple[int, str]]) -> Items:
+    if token not in _books:
+        _books.clear()
+        _books[token] = Items(items)
+    return _books[token]
+
+
+def _scan(documents: DataFrame, blocks: list[list[tuple[int, str]]]) -> DataFrame:
+    """One scan of the documents for all blocks of items. With several blocks a task keeps its input split to go through it again."""
+    spark = documents.sparkSession
+    shared = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in blocks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = Items(shared.value)
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                leaks = book.scan(text)
-                if leaks:
-                    where = spans(composed(text))
-                    rows += [(doc, k, a, e, kind, where[a][0], where[e - 1][1]) for k, a, e, kind in leaks]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)] if rows else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
+        held = batches if len(shared) == 1 else list(batches)
+        for token, items in shared:
+            book = _book(token, items.value)
+            for batch in held:
+                rows = []
+                texts = batch.column(1).to_pylist()
+                for doc, text, leaks in zip(batch.column(0).to_pylist(), texts, book.scan_all(texts), strict=True):
+                    if leaks:
+                        where = spans(composed(text))
+                        rows += [(doc, k, a, e, kind, where[a][0], where[e - 1][1]) for k, a, e, kind in leaks]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)] if rows else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
 
     return documents.mapInArrow(run, _LEAKS)
 
@@ -196,20 +294,19 @@ def _scan_block(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Every leaked span: doc_id, item_id, first_word, end_word, kind, first_char, end_char (in the composed text).
 
-    An item found in several places of a document gives a row for each maximal span; spans of one item may overlap. Items come to the workers in blocks of bounded size; each
-    block is one scan of the documents. Defined cases: null or empty texts and items without words leak nothing; an
-    item shorter than 20 words leaks as a whole only; repeated rows give the same leak once; empty tables give an
-    empty result; extra columns are ignored whatever their names.
+    A leak is a run of at least 20 words of an item, or the whole item with at most one word in ten edited; words typed
+    without a space between them may also count as one word, changed or dropped at once. An item found in several
+    places of a document gives a row for each maximal span; spans of one item may overlap. Items come to the workers
+    in blocks of bounded size, all of them in one scan of the documents. Defined cases: null or empty texts and items
+    without words leak nothing; an item shorter than 20 words leaks as a whole only; repeated rows give the same leak
+    once; empty tables give an empty result; extra columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL AND doc_id IS NOT NULL")
     tests = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL AND item_id IS NOT NULL").distinct()
     size = tests.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["chars"] // BLOCK_CHARS))
-    parts = [
-        _scan_block(docs, [tuple(r) for r in tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()])
-        for b in range(blocks)
-    ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    n = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["chars"] // BLOCK_CHARS))
+    blocks = [[tuple(r) for r in tests.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect()] for b in range(n)]
+    return _scan(docs, blocks).distinct()
 
 
 def without_leaks(documents: DataFrame, found: DataFrame) -> DataFrame:

@@ -144,14 +144,11 @@ def unify(df: DataFrame, col: str, out: str = "plain") -> DataFrame:
     length are processed; ties within a class fall to the least member; repeated rows are kept; an empty table gives
     an empty table; other columns pass through whatever their names.
     """
-    key = "_lookalike_value"
-    forms = canonical_values(df, col).withColumnRenamed("value", key).withColumnRenamed("canonical", "_lookalike_canonical")
-    return (
-        df.withColumn(key, F.when(suspect(F.col(f"`{col}`")), F.col(f"`{col}`")))
-        .join(forms, key, "left")
-        .withColumn(out, F.coalesce("_lookalike_canonical", F.col(f"`{col}`")))
-        .drop(key, "_lookalike_canonical")
-    )
+    forms = canonical_values(df, col).withColumnRenamed("value", "_lookalike_value").withColumnRenamed("canonical", "_lookalike_canonical")
+    value = F.col(f"`{col}`")
+    # plain rows do not take part in the join, so they stay spread as they are
+    found = df.where(suspect(value)).join(forms, value == F.col("_lookalike_value")).withColumn(out, F.col("_lookalike_canonical"))
+    return found.drop("_lookalike_value", "_lookalike_canonical").unionByName(df.where(~suspect(value)).withColumn(out, value))
 
 
 def disguised(df: DataFrame, keys: list[str], col: str) -> DataFrame:

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import base64
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,11 +25,26 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # ranks of a public byte-le
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value of that tokenizer
 BUCKETS = 4096  # hash buckets of a source from which its rate is solved
 SEED = 20240131
-HIGHEST = 60.0  # rate taken for "as often as the cap allows"
+PIECE = 100_000  # characters from which a long text is cut where its tokens cannot span; see ``pieces``
+
+_WORD_END = regex.compile(r"(?<=\p{L})(?=\s)")
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text in parts whose tokens together are its own: PATTERN never joins a letter and a space behind it, and looks
+    ahead only. A part runs on until such a place, however far it is."""
+    at = 0
+    while len(text) - at > PIECE:
+        m = _WORD_END.search(text, at + PIECE)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 def tokens_of(text: Column, path: str = TOKENIZER) -> Column:
-    """Tokens of a text under the tokenizer at ``path``; 0 for null."""
+    """Tokens of a whole text under the tokenizer at ``path``; 0 for null."""
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
@@ -36,7 +53,7 @@ def tokens_of(text: Column, path: str = TOKENIZER) -> Column:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
-            yield pd.Series([0 if t is None else sum(len(coder.encode_ordinary(t[i : i + 100_000])) for i in range(0, len(t), 100_000)) for t in batch], dtype="int64")
+            yield pd.Series([0 if t is None else sum(len(coder.encode_ordinary(part)) for part in pieces(t)) for t in batch], dtype="int64")
 
     return F.pandas_udf(count, T.LongType())(text)
 
@@ -58,13 +75,19 @@ def poisson_steps(rate: float, cap: int) -> list[float]:
 
 
 def solve_rate(buckets: dict[int, int], wanted: float, cap: int) -> float:
-    """The mean rate at which records in these hash buckets reach ``wanted`` tokens; HIGHEST if the cap forbids it."""
+    """The mean rate at which records in these hash buckets reach ``wanted`` tokens; infinite if the cap forbids it."""
     if wanted <= 0 or cap <= 0:
         return 0.0
-    reached = lambda rate: sum(n * sum(s < (b + 0.5) / BUCKETS for s in steps) for steps in (poisson_steps(rate, cap),) for b, n in buckets.items())
     if sum(buckets.values()) * cap <= wanted:
-        return HIGHEST
-    low, high = 0.0, HIGHEST
+        return math.inf
+
+    def reached(rate: float) -> int:
+        steps = poisson_steps(rate, cap)
+        return sum(n * bisect_left(steps, (b + 0.5) / BUCKETS) for b, n in buckets.items())
+
+    low, high = 0.0, 1.0
+    while reached(high) < wanted:
+        low, high = high, high * 2
     for _ in range(50):
         mid = (low + high) / 2
         low, high = (mid, high) if reached(mid) < wanted else (low, mid)
@@ -72,9 +95,9 @@ def solve_rate(buckets: dict[int, int], wanted: float, cap: int) -> float:
 
 
 def sized(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """doc_id, source in one spelling, tokens; each document once."""
+    """doc_id, source in one spelling, tokens; each document once (of rows that differ the one least by source and tokens)."""
     docs = documents.select(F.col("doc_id").cast("long"), source_name(F.col("source")).alias("source"), tokens_of(F.col("text"), path).alias("tokens"))
-    return cut(docs)
+    return cut(docs.groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("d")).select("doc_id", "d.source", "d.tokens"))
 
 
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -95,7 +118,7 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         key = (g["mix_name"], g["source"])
         wanted = g["target_share"] * g["size_factor"] * total
         rate = solve_rate(have.get(key, {}), wanted, g["max_repeats"])
-        steps = [0.0] * g["max_repeats"] if rate == HIGHEST else poisson_steps(rate, g["max_repeats"])
+        steps = [0.0] * g["max_repeats"] if math.isinf(rate) else poisson_steps(rate, g["max_repeats"])
         rows.append((*key, g["target_share"], g["max_repeats"], float(wanted), docs.get(key, 0), sum(have.get(key, {}).values()), rate, steps))
     schema = "mix_name string, source string, target_share double, max_repeats int, wanted_tokens double, source_docs long, source_tokens long, rate double, steps array<double>"
     return spark.createDataFrame(rows, schema)

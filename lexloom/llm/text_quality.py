@@ -7,13 +7,14 @@ sums of products per language reach the driver.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,13 +22,21 @@ from lexloom.runtime import cut
 
 # the statistics the distance is taken over; those of the running text leave list entries and table rows out
 TEXT_STATS = ("word_length", "symbols", "digits", "common", "repeated", "sentences", "odd_words")
-STATS = (*TEXT_STATS, "list_share", "table_share")
-FLOOR = {"word_length": 0.25, "symbols": 0.012, "digits": 0.02, "common": 0.04, "repeated": 0.03, "sentences": 0.12, "odd_words": 0.015, "list_share": 0.05, "table_share": 0.05}
+SHAPE_STATS = ("log_words", "log_lines", "mean_word_length", "lines_with_end")  # of the whole text; they tell long from short rather than prose from junk
+STATS = (*TEXT_STATS, *SHAPE_STATS, "list_share", "table_share")
+# the least scale of each statistic: differences below it mean nothing
+FLOOR = {
+    "word_length": 0.25, "symbols": 0.012, "digits": 0.02, "common": 0.04, "repeated": 0.03, "sentences": 0.12, "odd_words": 0.015,
+    "log_words": 1.0, "log_lines": 1.0, "mean_word_length": 0.5, "lines_with_end": 0.3, "list_share": 0.05, "table_share": 0.05,
+}
+ENTRY_WORDS = 12  # an unmarked line of more words is no entry but text
+ENTRY_SENTENCES = 2  # a marked line of more sentences is text with a mark before it
+EVERY = "*"  # the group of documents of no known language: they are compared with the prose of all
 RIDGE = 0.05  # added to the diagonal of a correlation-scaled covariance
 STEPS = 3  # re-estimations on the inliers
-INLIER = 21.7  # squared distance within which a document helps to estimate prose (99 % of a chi-square with 9 degrees)
+INLIER = 27.7  # squared distance within which a document helps to estimate prose (99 % of a chi-square with 13 degrees)
 OUTLIER = 60.0  # squared distance beyond which a document is not prose
-LANGUAGES = ("fr", "en", "de")
+LEAST_DOCS = 20  # documents from which a language has statistics of its own
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CELLS = re.compile(r"\t|\||;\S|,\S|\S  ")
@@ -78,14 +87,14 @@ def split_forms(text: str, common: set[str]) -> tuple[str, int, int, int, list[s
         near = (i and rows[i - 1] == rows[i]) or (i + 1 < len(lines) and rows[i + 1] == rows[i])
         if rows[i] and (near or rows[i] in "\t|"):
             kinds.append("table")
-        elif _MARKED.match(line) and sum(map(str.isalnum, line)) * 3 > len(line.strip()) and len(line) <= 300:
+        elif _MARKED.match(line) and sum(map(str.isalnum, line)) * 3 > len(line.strip()) and sum(x.count(" ") >= 4 for x in _BREAK.split(line)) <= ENTRY_SENTENCES:
             kinds.append("list")
         else:
             kinds.append("")
     i = 0
     while i < len(lines):  # unmarked entries: runs of short lines that make no sentences
         j = i
-        while j < len(lines) and not kinds[j] and len(lines[j]) <= 80:
+        while j < len(lines) and not kinds[j] and lines[j].count(" ") < ENTRY_WORDS:
             j += 1
         if j - i >= 3:
             part = lines[i:j]
@@ -155,13 +164,15 @@ def statistics(text: str | None, common: dict[str, set[str]], every: set[str]) -
     chars = max(len(body), 1)
     flow = " ".join(body.split("\n"))
     said = Counter(_BREAK.split(flow.rstrip()))
-    in_sentences = sum(len(s) * k for s, k in said.items() if s.count(" ") >= 4 and len(s) < 700 and s[-1] in ".;!?")
+    in_sentences = sum(len(s) * k for s, k in said.items() if 4 <= s.count(" ") and len(s) < 15 * (s.count(" ") + 1) and s[-1] in ".;!?")
     again = sum(len(s) * k for s, k in said.items() if k > 3) / chars
     top = max(tally.values(), default=0) / n
     return {
         "words": n_all,
         "lines": len(lines),
-        "mean_word_length": whole[1] / max(n_all, 1),
+        "log_words": math.log1p(n_all),
+        "log_lines": math.log1p(len(lines)),
+        "mean_word_length": min(whole[1] / max(n_all, 1), 20.0),
         "lines_with_end": sum(bool(_ENDS.search(x)) for x in lines) / max(len(lines), 1),
         "guessed": lang if lang and known[lang] >= 0.1 else None,
         "word_length": min(letters / n, 20.0),
@@ -176,12 +187,12 @@ def statistics(text: str | None, common: dict[str, set[str]], every: set[str]) -
     }
 
 
-_COLUMNS = ("words", "lines", "mean_word_length", "lines_with_end", "guessed", *STATS)
+_COLUMNS = ("words", "lines", "guessed", *STATS)
 _SCHEMA = T.StructType([T.StructField(c, T.LongType() if c in ("words", "lines") else T.StringType() if c == "guessed" else T.DoubleType()) for c in _COLUMNS])
 
 
 def measured(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """doc_id, lang (guessed from the words, else as stated, else fr) and the statistics of every document.
+    """doc_id, group (the language guessed from the words, else as stated, else EVERY) and the statistics of every document.
 
     The word list is a fixed table of frequent words; it is refused beyond 100,000 rows.
     """
@@ -198,9 +209,9 @@ def measured(documents: DataFrame, common_words: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([statistics(t, common, every) for t in batch], columns=list(_COLUMNS))
 
-    stated = F.when(F.col("lang").isin(*LANGUAGES), F.col("lang"))
+    stated = F.when(F.col("lang").rlike("^[a-z]{2,3}$") & (F.col("lang") != "und"), F.col("lang"))
     out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), stated.alias("stated"), F.pandas_udf(run, _SCHEMA)("text").alias("s"))
-    return out.select("doc_id", F.coalesce(F.when(F.col("s.guessed").isin(*LANGUAGES), F.col("s.guessed")), "stated", F.lit("fr")).alias("group"), *[F.col(f"s.{c}").alias(c) for c in _COLUMNS if c != "guessed"])
+    return out.select("doc_id", F.coalesce("s.guessed", "stated", F.lit(EVERY)).alias("group"), *[F.col(f"s.{c}").alias(c) for c in _COLUMNS if c != "guessed"])
 
 
 def _with_contributions(stats: DataFrame, model: dict) -> DataFrame:
@@ -212,7 +223,10 @@ def _with_contributions(stats: DataFrame, model: dict) -> DataFrame:
             values = batch[list(STATS)].to_numpy(dtype=float)
             out = np.zeros_like(values)
             group = batch["group"].to_numpy()
-            for lang, m in model.items():
+            for lang in set(group):
+                m = model.get(lang) or model.get(EVERY)
+                if m is None:
+                    continue
                 rows = group == lang
                 z = np.clip((values[rows] - m["centre"]) / m["scale"], -1e3, 1e3)
                 out[rows] = z * (z @ m["inverse"])
@@ -224,27 +238,35 @@ def _with_contributions(stats: DataFrame, model: dict) -> DataFrame:
 
 
 def fit_prose(stats: DataFrame) -> dict:
-    """Robust centre, scale and inverse covariance of prose per language, over all documents."""
-    quantiles = stats.groupBy("group").agg(*[F.percentile_approx(s, [0.25, 0.5, 0.75], 10_000).alias(s) for s in STATS]).collect()
+    """Robust centre, scale and inverse covariance of prose per language and over all documents (EVERY).
+
+    A language of fewer than ``LEAST_DOCS`` documents has none of its own. One row of sums per language reaches the driver.
+    """
+
+    def per_language(rows: DataFrame, *aggs: Column) -> list[tuple[str, Row]]:
+        known = rows.withColumn("group", F.when(F.col("group") != EVERY, F.col("group")))
+        out = known.rollup("group").agg(F.count("*").alias("n"), F.grouping("group").alias("whole"), *aggs)
+        return [(EVERY if r["whole"] else r["group"], r) for r in out.where(f"whole = 1 OR group IS NOT NULL AND n >= {LEAST_DOCS}").collect()]
+
     model: dict = {}
-    for r in quantiles:
+    floor = [FLOOR[s] for s in STATS]
+    for lang, r in per_language(stats, *[F.percentile_approx(s, [0.25, 0.5, 0.75], 10_000).alias(s) for s in STATS]):
         q = np.array([r[s] for s in STATS], dtype=float)
-        scale = np.maximum((q[:, 2] - q[:, 0]) / 1.349, [FLOOR[s] for s in STATS])
-        model[r["group"]] = {"centre": q[:, 1], "scale": scale, "inverse": np.eye(len(STATS))}
+        model[lang] = {"centre": q[:, 1], "scale": np.maximum((q[:, 2] - q[:, 0]) / 1.349, floor), "inverse": np.eye(len(STATS))}
     for _ in range(STEPS):
         inner = _with_contributions(stats, model).where(F.col("distance2") <= INLIER)
-        aggs = [F.count("*").alias("n"), *[F.sum(s).alias(f"s_{i}") for i, s in enumerate(STATS)]]
+        aggs = [F.sum(s).alias(f"s_{i}") for i, s in enumerate(STATS)]
         aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p_{i}_{j}") for i, a in enumerate(STATS) for j, b in enumerate(STATS) if i <= j]
-        for r in inner.groupBy("group").agg(*aggs).collect():
+        for lang, r in per_language(inner, *aggs):
             n = r["n"]
-            if n < 20:
+            if n < LEAST_DOCS:
                 continue
             mean = np.array([r[f"s_{i}"] / n for i in range(len(STATS))])
             cov = np.array([[r[f"p_{min(i, j)}_{max(i, j)}"] / n for j in range(len(STATS))] for i in range(len(STATS))]) - np.outer(mean, mean)
-            scale = np.maximum(np.sqrt(np.maximum(np.diag(cov), 0)), [FLOOR[s] for s in STATS])
+            scale = np.maximum(np.sqrt(np.maximum(np.diag(cov), 0)), floor)
             shape = cov / np.outer(scale, scale)
             np.fill_diagonal(shape, 1.0)
-            model[r["group"]] = {"centre": mean, "scale": scale, "inverse": np.linalg.inv(shape + RIDGE * np.eye(len(STATS)))}
+            model[lang] = {"centre": mean, "scale": scale, "inverse": np.linalg.inv(shape + RIDGE * np.eye(len(STATS)))}
     return model
 
 

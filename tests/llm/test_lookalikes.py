@@ -29,3 +29,16 @@ def test_dirty_rows(spark):
 def test_equal_looking_values_become_equal(spark):
     df = spark.createDataFrame([(1, "e\u0301t\u0435"), (2, "\u00e9te"), (3, "é\u200bt\uff45")], "k int, t string")
     assert {r["plain"] for r in unify(df, "t").collect()} == {"éte"}
+
+
+def test_plain_rows_stay_spread(spark):
+    """Plain rows take no part in the join: no partition of the result holds much more than its share."""
+    df = spark.range(0, 4000, 1, 8).selectExpr("id", "if(id % 100 = 0, 'ｌa', 'la') AS t")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = unify(df, "t")
+        sizes = out.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(r["count"] for r in sizes) == 4000 and max(r["count"] for r in sizes) <= 500
+    assert unify(df, "t", "t").where("t <> 'la'").count() == 0

@@ -1,9 +1,14 @@
 """Scan repair, leaks, mixing and text statistics."""
 
+import base64
+import math
 import random
 
+from pyspark.sql import functions as F
+
 from lexloom.llm.contamination import Items, leaks, sure_run, without_leaks
-from lexloom.llm.mixing import mix, plan, poisson_steps, shares, solve_rate
+from lexloom.llm import contamination
+from lexloom.llm.mixing import PATTERN, TOKENIZER, mix, plan, poisson_steps, shares, solve_rate, tokens_of
 from lexloom.llm.queries import QUERIES
 from lexloom.llm.scan_repair import BLOCK, Channel, correct, is_page_number, mark, marked_lines, noise, paragraphs
 from lexloom.llm.text_quality import judged
@@ -91,6 +96,32 @@ def test_leaks_match_brute_force():
     assert sure_run(9) == 9 and sure_run(10) == 5
 
 
+def test_short_items_and_compounds():
+    """Short items are found whole beside long ones; a hyphenated name counts as one edited word."""
+    rng = random.Random(4)
+    long = " ".join(f"w{i}" for i in range(40)) + " Saint-Aubrelin-sur-Orvette et " + " ".join(f"v{i}" for i in range(20))
+    book = Items([(1, long), (2, "de"), (3, "le site"), (4, " ".join(f"u{i}" for i in range(9)))])
+    words = long.split()
+    for at in (3, 12, 21, 30, 52):
+        words[at] = "autre"
+    words[40] = "local"
+    assert {r[0] for r in book.scan("x " + " ".join(words) + " y")} == {1}
+    words[59] = "autre"
+    assert not book.scan(" ".join(words))
+    assert {r[0] for r in book.scan("vers le Site DE u0 u1 u2 u3 u4 u5 u6 u7 u8 u9")} == {2, 3, 4}
+    assert {r[0] for r in book.scan("u0 u1 u2 u3 u5 u6 u7 u8")} == set()
+    docs = [" ".join(rng.choices([*words, "de", "le", "site"], k=60)) for _ in range(50)]
+    assert book.scan_all(docs) == [book.scan(d) for d in docs]
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "BLOCK_ITEMS", 3)
+    items = [(k, " ".join(f"k{k}w{i}" for i in range(25))) for k in range(12)]
+    docs = [(100 + k, f"a {text} b {items[0][1]}") for k, text in items]
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(100 + k, k) for k in range(12)} | {(100 + k, 0) for k in range(12)}
+
+
 def test_leak_tables(spark):
     passage = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, f"Début. {passage.upper()} fin", "x"), (2, None, "x"), (3, "", "x"), (1, f"Début. {passage.upper()} fin", "x")], "doc_id long, text string, item_id string")
@@ -143,7 +174,28 @@ def test_poisson_rates():
     assert [round(x, 4) for x in poisson_steps(1.0, 3)] == [0.3679, 0.7358, 0.9197]
     buckets = {b: 10 for b in range(4096)}
     rate = solve_rate(buckets, 20_480, 3)
-    assert abs(rate - 0.5) < 0.02 and solve_rate(buckets, 10**9, 3) == 60.0 and solve_rate({}, 5, 1) == 60.0 and solve_rate(buckets, 0, 1) == 0.0
+    assert abs(rate - 0.5) < 0.02 and math.isinf(solve_rate(buckets, 10**9, 3)) and math.isinf(solve_rate({}, 5, 1)) and solve_rate(buckets, 0, 1) == 0.0
+
+
+def test_high_rates_are_solved():
+    """A rate far above the former bound of 60 is found as long as the cap allows it."""
+    buckets = {b: 10 for b in range(4096)}
+    rate = solve_rate(buckets, 40_960 * 80, 100)
+    steps = poisson_steps(rate, 100)
+    assert abs(sum(10 * sum(s < (b + 0.5) / 4096 for s in steps) for b in buckets) / 40_960 - 80) < 0.1
+
+
+def test_tokens_of_whole_texts(spark):
+    """Counts of texts far beyond a piece are those of the tokenizer on the whole text, wherever they could be cut."""
+    import tiktoken
+
+    with open(TOKENIZER, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    texts = ["", "l'été  de 1999\n\n n° 12/b", None, "".join(rng.choice(["mot", " ", "  ", "\n", "é", "12", "-", "'s", "\u00a0", "…"]) for _ in range(150_000)), "ab " * 90_000, "7" * 2_000 + "x" * 120_000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tokens_of(F.col("t")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: len(coder.encode_ordinary(t or "")) for i, t in enumerate(texts)}
 
 
 def test_mixture(spark):
@@ -157,6 +209,20 @@ def test_mixture(spark):
     assert mix(sizes, planned).collect() == sample.collect()
 
 
+def test_long_sentences_and_entries(spark):
+    """Neither a sentence of 900 characters nor an entry of 400 is another thing than a shorter one; other languages have their own prose."""
+    rng = random.Random(7)
+    common = spark.createDataFrame([("fr", w) for w in "le la les de des du un une et à est sont dans pour par sur".split()], "lang string, word string")
+    nouns = "vanne site bassin registre exploitant contrôle mesure rejet réseau nappe parcelle torchère".split()
+    clause = lambda: f"le {rng.choice(nouns)} de la {rng.choice(nouns)} est dans le {rng.choice(nouns)} pour un {rng.choice(nouns)}"
+    prose = lambda n: " ".join(", ".join(clause() for _ in range(n)).capitalize() + "." for _ in range(12))
+    rows = [(i, prose(2), "fr") for i in range(40)] + [(50, prose(20), "fr"), (51, "\n".join(f"- {n} {', '.join(rng.choices(nouns, k=50))}" for n in nouns * 2), "fr")]
+    spanish = "agua presa cauce vertido planta ruido plazo informe".split()
+    rows += [(60 + i, " ".join(f"El {rng.choice(spanish)} del {rng.choice(spanish)} se mantiene en el {rng.choice(spanish)} con {rng.choice(spanish)}." for _ in range(12)), "es") for i in range(30)]
+    form = {r["doc_id"]: r["form"] for r in judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), common).collect()}
+    assert form.pop(51) == "list" and set(form.values()) == {"prose"}
+
+
 def test_forms(spark):
     rng = random.Random(1)
     common = spark.createDataFrame([("fr", w) for w in "le la les de des du un une et à est sont dans pour par sur".split()], "lang string, word string")
