@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -214,22 +214,27 @@ def measured(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce("s.guessed", "stated", F.lit(EVERY)).alias("group"), *[F.col(f"s.{c}").alias(c) for c in _COLUMNS if c != "guessed"])
 
 
+def _contributions(batch: pd.DataFrame, model: dict) -> np.ndarray:
+    """Each statistic's part of the squared distance of every row of a batch."""
+    values = batch[list(STATS)].to_numpy(dtype=float)
+    out = np.zeros_like(values)
+    group = batch["group"].to_numpy()
+    for lang in set(group):
+        m = model.get(lang) or model.get(EVERY)
+        if m is not None:
+            rows = group == lang
+            z = np.clip((values[rows] - m["centre"]) / m["scale"], -1e3, 1e3)
+            out[rows] = z * (z @ m["inverse"])
+    return out
+
+
 def _with_contributions(stats: DataFrame, model: dict) -> DataFrame:
     """``c_<stat>``: each statistic's part of the squared distance ``distance2``; they add up to it. Vectorised per batch."""
     names = [f"c_{s}" for s in STATS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = batch[list(STATS)].to_numpy(dtype=float)
-            out = np.zeros_like(values)
-            group = batch["group"].to_numpy()
-            for lang in set(group):
-                m = model.get(lang) or model.get(EVERY)
-                if m is None:
-                    continue
-                rows = group == lang
-                z = np.clip((values[rows] - m["centre"]) / m["scale"], -1e3, 1e3)
-                out[rows] = z * (z @ m["inverse"])
+            out = _contributions(batch, model)
             yield pd.DataFrame(out, columns=names).assign(distance2=out.sum(axis=1))
 
     shape = T.StructType([T.StructField(c, T.DoubleType()) for c in (*names, "distance2")])
@@ -237,32 +242,49 @@ def _with_contributions(stats: DataFrame, model: dict) -> DataFrame:
     return scored.select("*", "_c.*").drop("_c")
 
 
+def _moments(stats: DataFrame, model: dict) -> dict[str, np.ndarray]:
+    """For each language and EVERY the sums over documents near their prose: [n, sums, products] as one matrix.
+
+    Tasks send sums per batch, which are added up per language and cell; one row per language and cell reaches the driver.
+    """
+    width = len(STATS) + 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near = _contributions(batch, model).sum(axis=1) <= INLIER
+            x = np.column_stack([np.ones(near.sum()), batch.loc[near, list(STATS)].to_numpy(dtype=float)])
+            group = batch.loc[near, "group"].to_numpy()
+            for lang in {*group, EVERY}:
+                own = x if lang == EVERY else x[group == lang]
+                yield pd.DataFrame({"group": lang, "cell": np.arange(width * width), "value": (own.T @ own).ravel()})
+
+    cells = stats.select("group", *STATS).mapInPandas(run, "group string, cell int, value double").groupBy("group", "cell").agg(F.sum("value").alias("value"))
+    out: dict[str, np.ndarray] = {}
+    for r in cells.collect():
+        out.setdefault(r["group"], np.zeros(width * width))[r["cell"]] = r["value"]
+    return {lang: m.reshape(width, width) for lang, m in out.items()}
+
+
 def fit_prose(stats: DataFrame) -> dict:
     """Robust centre, scale and inverse covariance of prose per language and over all documents (EVERY).
 
     A language of fewer than ``LEAST_DOCS`` documents has none of its own. One row of sums per language reaches the driver.
     """
 
-    def per_language(rows: DataFrame, *aggs: Column) -> list[tuple[str, Row]]:
-        known = rows.withColumn("group", F.when(F.col("group") != EVERY, F.col("group")))
-        out = known.rollup("group").agg(F.count("*").alias("n"), F.grouping("group").alias("whole"), *aggs)
-        return [(EVERY if r["whole"] else r["group"], r) for r in out.where(f"whole = 1 OR group IS NOT NULL AND n >= {LEAST_DOCS}").collect()]
-
+    known = stats.withColumn("group", F.when(F.col("group") != EVERY, F.col("group")))
+    middle = known.rollup("group").agg(F.count("*").alias("n"), F.grouping("group").alias("whole"), *[F.percentile_approx(s, [0.25, 0.5, 0.75], 10_000).alias(s) for s in STATS])
     model: dict = {}
     floor = [FLOOR[s] for s in STATS]
-    for lang, r in per_language(stats, *[F.percentile_approx(s, [0.25, 0.5, 0.75], 10_000).alias(s) for s in STATS]):
+    for r in middle.where(f"whole = 1 OR group IS NOT NULL AND n >= {LEAST_DOCS}").collect():
         q = np.array([r[s] for s in STATS], dtype=float)
-        model[lang] = {"centre": q[:, 1], "scale": np.maximum((q[:, 2] - q[:, 0]) / 1.349, floor), "inverse": np.eye(len(STATS))}
+        model[EVERY if r["whole"] else r["group"]] = {"centre": q[:, 1], "scale": np.maximum((q[:, 2] - q[:, 0]) / 1.349, floor), "inverse": np.eye(len(STATS))}
     for _ in range(STEPS):
-        inner = _with_contributions(stats, model).where(F.col("distance2") <= INLIER)
-        aggs = [F.sum(s).alias(f"s_{i}") for i, s in enumerate(STATS)]
-        aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p_{i}_{j}") for i, a in enumerate(STATS) for j, b in enumerate(STATS) if i <= j]
-        for lang, r in per_language(inner, *aggs):
-            n = r["n"]
+        for lang, sums in _moments(stats, model).items():
+            n = sums[0, 0]
             if n < LEAST_DOCS:
                 continue
-            mean = np.array([r[f"s_{i}"] / n for i in range(len(STATS))])
-            cov = np.array([[r[f"p_{min(i, j)}_{max(i, j)}"] / n for j in range(len(STATS))] for i in range(len(STATS))]) - np.outer(mean, mean)
+            mean = sums[0, 1:] / n
+            cov = sums[1:, 1:] / n - np.outer(mean, mean)
             scale = np.maximum(np.sqrt(np.maximum(np.diag(cov), 0)), floor)
             shape = cov / np.outer(scale, scale)
             np.fill_diagonal(shape, 1.0)
