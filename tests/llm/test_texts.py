@@ -3,6 +3,7 @@
 import base64
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -25,6 +26,37 @@ def test_noisy_channel():
     assert correct("", channel) == ("", False)
 
 
+def test_any_repeated_line_is_a_header():
+    """No list of phrases: what stands at the edges of several pages is a header, a heading or a sentence is not."""
+    page = lambda p, head: [(p, head), (p, "le registre"), (p, "exploitant conserve")]
+    for head in ("Cahier Vrelan / Gormu", "Gazette des quais, n° 12 - {}"):
+        got = mark([line for p in range(1, 5) for line in page(p, head.format(p) if p > 1 else "Avis au public")], Channel(WORDS, {}, 10_000))
+        assert [i for i, m in enumerate(got) if m[0] == "header"] == [3, 6, 9]
+    for head in ("Article 4", "le contrôle est fait,", "- la mesure"):
+        assert not any(m[0] == "header" for m in mark([line for p in range(1, 5) for line in page(p, head)], Channel(WORDS, {}, 10_000)))
+
+
+def test_long_lines_decode_in_linear_time():
+    channel = Channel(WORDS, {"le registre": 300}, 10_000)
+    began = time.time()
+    assert channel.decode(["le", "regisfre"] * 8_000) == ["le", "registre"] * 8_000
+    assert time.time() - began < 5
+
+
+def test_long_words_are_corrected():
+    long = "antiretrocontroversablementextraordinairement"
+    assert correct(long.replace("rd", "rcl"), Channel({long: 90}, {}, 10_000)) == (long, True)
+
+
+def test_rare_words_are_known_beyond_the_broadcast(spark, monkeypatch):
+    """A word too rare for the broadcast is restored like a frequent one, and kept where it is what was printed."""
+    monkeypatch.setattr("lexloom.llm.scan_repair.LEXICON_BOUND", 40)
+    lines = ["exploitant conserve le registre"] * 900 + ["le filigrane est contrôlé"] * 60 + ["le fi1igrane est", "une vanne", "une vanne", "une vanne"]
+    df = spark.createDataFrame([(i, f"d{i}", 1, 0, t) for i, t in enumerate(lines)], "seg_id long, doc_id string, page int, line_no long, contents string")
+    assert {(r["seg_id"], r["noise"]) for r in noise(df).collect()} == {(960, "glyph")}
+    assert {r["text"] for r in marked_lines(df).where("seg_id = 960").collect()} == {"le filigrane est"}
+
+
 def test_page_numbers():
     assert all(map(is_page_number, ["page 1/4", "— 3 —", "- 2 -", "[2]", "( 3 )", "iii", "Feuillet 1", "2 sur 4", "12", "p. 5"]))
     assert not any(map(is_page_number, ["2013 ;", "1997.", "- 3 ans", "°C.", "L.", "", "Article 3"]))
@@ -48,9 +80,9 @@ def test_order_of_several_blocks(spark):
 
 
 def test_marks_of_a_page():
-    lines = [(1, "PRÉFECTURE DE X"), (1, "le con-"), (1, "page 1/2"), (2, "Dossier 0052796055 / Nelbre"), (2, "trôle fait"), (2, None), (2, "remis :"), (2, "23"), (2, "page 2/2")]
+    lines = [(1, "PRÉFECTURE DE X"), (1, "le con-"), (1, "page 1/2"), (2, "Dossier 0052796055 / Nelbre"), (2, "trôle fait"), (2, None), (2, "remis :"), (2, "23"), (2, "page 2/2"), (3, "Dossicr 0052796055 / Nelbre"), (3, "le registre")]
     got = mark(lines, Channel(WORDS, {}, 10_000))
-    assert [m[0] for m in got] == ["text", "text", "page_number", "header", "text", "blank", "text", "text", "page_number"]
+    assert [m[0] for m in got] == ["text", "text", "page_number", "header", "text", "blank", "text", "text", "page_number", "header", "text"]
     assert got[1][1] == ["hyphen"] and got[3][1] == ["header"] and got[4][4]
 
 
