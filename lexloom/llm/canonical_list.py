@@ -1,13 +1,16 @@
 """Free-typed values mapped to the closest entry of a reference list, by a broadcast symmetric-delete dictionary.
 
-The reference list is small by contract (``MAX_ENTRIES``); its deletion neighbourhoods are broadcast once. Every
-distinct typed value is looked up under bounded edit distance and its candidates are ranked by weighted
-Damerau-Levenshtein distance, then by how often the entry is named outright. Values without an entry are reported.
+The reference list is small by contract: its index is measured in keys (``MAX_KEYS``) before it is sent, and every
+worker builds it once. Deletions are taken from the last ``WINDOW`` characters of a title, which is exact for bounded
+edit distance and keeps the keys of a title few whatever its length. Every distinct typed value is looked up under
+bounded edit distance and its candidates are ranked by weighted Damerau-Levenshtein distance, then by how often the
+entry is named outright; cut-off words and initials have keys of their own. Values without an entry are reported.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
@@ -21,8 +24,10 @@ from pyspark.sql import types as T
 from lexloom.llm.lookalikes import plain_form
 from lexloom.runtime import latest
 
-MAX_ENTRIES = 200_000  # a reference list beyond this is refused, so the broadcast stays bounded
 MAX_EDITS = 2  # edits a typed value may be away from an entry
+WINDOW = 14  # deletions are taken from so many characters at the end of a title
+MAX_KEYS = 4_000_000  # deletion keys (some 80 bytes each) of a reference list; a longer list is refused, so the index stays bounded
+MAX_ENTRIES = MAX_KEYS // (2 * (1 + WINDOW + WINDOW * (WINDOW - 1) // 2))  # each entry has two forms
 # Words of a title that carry no meaning of their own.
 STOP = {"de", "des", "du", "d", "la", "le", "les", "l", "et", "a", "au", "aux"}
 # Words before a title, and remarks after it, that do not change what it means.
@@ -80,8 +85,13 @@ def deletes(word: str, edits: int) -> set[str]:
     return out
 
 
+def _window(form: str) -> set[str]:
+    """The keys of a form: of two forms within MAX_EDITS edits the last WINDOW characters share one."""
+    return deletes(form[-WINDOW:], MAX_EDITS)
+
+
 class Dictionary:
-    """Entries under three keys: the full folded title, its content words, and their initials."""
+    """Entries by full folded title, content words, initials, beginnings of their words, and deletions."""
 
     def __init__(self, entries: list[tuple[str, str]], weight: dict[str, int] | None = None):
         if len(entries) > MAX_ENTRIES:
@@ -91,12 +101,15 @@ class Dictionary:
         self.shapes: dict[str, set[str]] = defaultdict(set)
         self.words: dict[str, list[str]] = {}
         self.initials: dict[str, set[str]] = defaultdict(set)
-        self.near: dict[str, set[tuple[str, str]]] = defaultdict(set)
+        self.starts: dict[tuple[str, ...], list[str]] = defaultdict(list)
+        self.forms: list[tuple[str, str]] = []
+        self.near: dict[str, list[int]] = {}
         self.longest = 0
         for title, cid in entries:
             flat = fold(title)
             content = self.content(flat)
             self.words[cid] = content
+            self.starts[tuple(w[:2] for w in content)].append(cid)
             self.initials["c" + "".join(w[0] for w in content)].add(cid)
             self.shapes[shape(flat)].add(cid)
             self.shapes[shape(" ".join(content))].add(cid)
@@ -104,8 +117,9 @@ class Dictionary:
                 if form:
                     self.longest = max(self.longest, len(form))
                     self.full[form].add(cid)
-                    for d in deletes(form, MAX_EDITS):
-                        self.near[d].add((form, cid))
+                    for d in _window(form):
+                        self.near.setdefault(d, []).append(len(self.forms))
+                    self.forms.append((form, cid))
 
     @staticmethod
     def content(flat: str) -> list[str]:
@@ -134,8 +148,8 @@ class Dictionary:
         for form in dict.fromkeys((flat, " ".join(self.content(flat)))):
             if not 4 <= len(form) <= self.longest + MAX_EDITS:  # no entry is within reach
                 continue
-            seen = {hit for d in deletes(form, MAX_EDITS) for hit in self.near.get(d, ())}
-            scored = [(weighted_distance(form, entry), cid) for entry, cid in seen]
+            seen = {self.forms[i] for d in _window(form) for i in self.near.get(d, ())}
+            scored = [(weighted_distance(form, entry), cid) for entry, cid in seen if abs(len(entry) - len(form)) <= MAX_EDITS]
             limit = MAX_EDITS if len(form) > 7 else 1
             if cid := self.pick([(s, c) for s, c in scored if s <= limit]):
                 return cid
@@ -154,8 +168,8 @@ class Dictionary:
             words = words[1:]
         words = [w for w in words if w not in STOP]
         hits = [
-            cid for cid, content in self.words.items()
-            if len(content) == len(words) and all(len(w) >= 2 and c.startswith(w) for w, c in zip(words, content, strict=True))
+            cid for cid in self.starts.get(tuple(w[:2] for w in words), ())
+            if all(len(w) >= 2 and c.startswith(w) for w, c in zip(words, self.words[cid], strict=True))
         ]
         return hits[0] if len(hits) == 1 else None
 
@@ -212,12 +226,24 @@ def article_number(raw: str | None) -> str | None:
 _MAPPED = T.StringType()
 
 
+_books: dict[str, Dictionary] = {}  # of this worker; one at a time
+
+
+def _book(token: str, entries: list[tuple[str, str]], weight: dict[str, int]) -> Dictionary:
+    if token not in _books:
+        _books.clear()
+        _books[token] = Dictionary(entries, weight)
+    return _books[token]
+
+
 def map_values(values: DataFrame, col: str, entries: list[tuple[str, str]], weight: dict[str, int] | None = None) -> DataFrame:
     """(value, entry) for each distinct value of ``col``; ``entry`` is null where no entry is meant."""
-    shared = values.sparkSession.sparkContext.broadcast((entries, weight or {}))
+    if len(entries) > MAX_ENTRIES:
+        raise ValueError(f"the reference list has {len(entries)} entries; the bound is {MAX_ENTRIES}")
+    shared, token = values.sparkSession.sparkContext.broadcast((entries, weight or {})), uuid.uuid4().hex
 
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        book = Dictionary(*shared.value)
+        book = _book(token, *shared.value)
         for batch in batches:
             yield batch.map(book.lookup, na_action="ignore").astype(object)
 
