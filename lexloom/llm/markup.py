@@ -1,9 +1,12 @@
 """Markup residue in the lines of documents: HTML, Markdown, wiki and LaTeX to clean text that keeps its structure.
 
 Each line is parsed into a small DOM whose inner nodes are pieces of notation and whose leaves are text. Wrapper
-induction then works on these trees: trees of one host with one skeleton are aligned by simple tree matching; nodes
-that stay constant are the template, slots that vary are the content. Clean lines are read off the slots; headings,
-lists, tables, code blocks and formulas keep a mark of their own.
+induction then works on these trees: the distinct shapes of a host's lines are merged into one wrapper, each aligned
+with what the others have built by simple tree matching, so shapes that differ in some nodes still share the rest.
+Nodes on which at least ``LEAST`` lines agree are constant and make the template; the text slots under them vary and are
+the content. A line holds notation if it has a template node; its clean form is read off the slots. Nodes that no line
+of the host shares are compared with the counts of their label paths over all hosts. Headings, lists, tables, code
+blocks and formulas keep a mark of their own.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import regex
@@ -21,6 +25,9 @@ from pyspark.sql import types as T
 from lexloom.operators.ordered import running_total
 from lexloom.runtime import cut
 
+LEAST = 2  # lines that have to agree on a node before it is template
+CHUNK = 2_000  # shapes of a host that are merged in one task; more are merged in several wrappers
+
 # A cheap test the JVM runs on every line: without one of these characters there is no notation.
 MAYBE = r"[<>#*_`~|\\\[\]{}$^&=!%]|''|^\s*[:;+>]|--|^\s*-{3}|^\s{4}|\t"
 
@@ -230,21 +237,90 @@ def skeleton(tree: Node) -> str:
     return f"{label}({','.join(inner)})" if inner else label
 
 
-def tree_match(a: Node, b: Node) -> int:
-    """Simple tree matching: nodes of the largest common top-down, order-keeping mapping."""
-    if a[0] != b[0]:
+class Slot:
+    """A node of a wrapper: label, how many lines agree on it, and children in order."""
+
+    __slots__ = ("label", "children", "lines")
+
+    def __init__(self, label: str, lines: int):
+        self.label, self.lines, self.children = label, lines, []
+
+
+def _kids(tree: Node) -> list[Node]:
+    return [] if tree[0] == "#" else list(tree[1])
+
+
+def _align(wrapper: Slot, tree: Node) -> list[tuple[Slot | None, Node]]:
+    """The children of a tree with the wrapper's they correspond to, by simple tree matching."""
+    ws, ts = wrapper.children, _kids(tree)
+    score = [[0] * (len(ts) + 1) for _ in range(len(ws) + 1)]
+    each = [[_match(w, t) for t in ts] for w in ws]
+    for i in range(1, len(ws) + 1):
+        for j in range(1, len(ts) + 1):
+            score[i][j] = max(score[i - 1][j], score[i][j - 1], score[i - 1][j - 1] + each[i - 1][j - 1])
+    i, j = len(ws), len(ts)
+    out: list[tuple[Slot | None, Node]] = []
+    while j:
+        if i and each[i - 1][j - 1] and score[i][j] == score[i - 1][j - 1] + each[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+            out.append((ws[i], ts[j]))
+        elif i and score[i][j] == score[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+            out.append((None, ts[j]))
+    return out[::-1]
+
+
+def _match(w: Slot, t: Node) -> int:
+    """Nodes of the largest common top-down, order-keeping mapping of a wrapper's node and a tree."""
+    if w.label != t[0]:
         return 0
-    if a[0] == "#":
-        return 1
-    before = [0] * (len(b[1]) + 1)
-    for x in a[1]:
+    ts = _kids(t)
+    before = [0] * (len(ts) + 1)
+    for x in w.children:
         row = [0]
-        for j, y in enumerate(b[1]):
-            row.append(max(before[j + 1], row[j], before[j] + tree_match(x, y)))
+        for j, y in enumerate(ts):
+            row.append(max(before[j + 1], row[j], before[j] + _match(x, y)))
         before = row
     return before[-1] + 1
 
 
+def merge(wrapper: Slot, tree: Node, lines: int) -> None:
+    """Take a tree that ``lines`` lines have into a wrapper with the same root: aligned nodes gain lines, others are added."""
+    at = 0
+    for slot, child in _align(wrapper, tree):
+        if slot is None:
+            slot = Slot(child[0], 0)
+            wrapper.children.insert(at, slot)
+        slot.lines += lines
+        merge(slot, child, lines)
+        at = wrapper.children.index(slot) + 1
+
+
+def agreed(wrapper: Slot, tree: Node) -> tuple[int, int]:
+    """(notation nodes of a tree on which LEAST lines or more agree, all its nodes of which they do)."""
+    own = wrapper.lines >= LEAST
+    notes, nodes = int(own and tree[0] not in _PLAIN_NODES), int(own)
+    for slot, child in _align(wrapper, tree):
+        if slot is not None:
+            a, b = agreed(slot, child)
+            notes, nodes = notes + a, nodes + b
+    return notes, nodes
+
+
+def paths(tree: Node, above: str = "") -> list[str]:
+    """The label paths of all notation nodes of a tree."""
+    label, children = tree
+    if label == "#":
+        return []
+    here = f"{above}/{label}"
+    return ([] if label in _PLAIN_NODES else [here]) + [p for c in children for p in paths(c, here)]
+
+
+_PLAIN_NODES = ("#", "line", "codeline", "cell")
+
+
 def clean(tree: Node) -> tuple[str, str, int]:
     """(kind, clean text, level) of a line: notation gone, structure kept."""
     label, children = tree
@@ -321,37 +397,84 @@ def maybe(text: Column) -> Column:
     return F.coalesce(text.rlike(MAYBE), F.lit(False))
 
 
-def _lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    return df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("_text"))
+def induced(trees: DataFrame) -> DataFrame:
+    """Wrapper induction: (host, skeleton, lines, template, alignment) of each shape of a host.
 
-
-def notation_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Keys of the lines that hold at least one piece of notation, each once.
-
-    Defined cases: null, empty and blank lines hold none; repeated rows count once; whole lines of any length are
-    parsed; extra columns are ignored whatever their names; an empty table gives an empty result.
+    ``trees``: host, skeleton. ``template`` counts the notation nodes of a shape that are constant, ``alignment`` is
+    the share of all its nodes on which at least LEAST lines of the host agree. Lines are pre-aggregated to shapes, and
+    shapes of one host beyond CHUNK go into several wrappers, so no task holds the lines of a host.
+    """
+    shapes = trees.groupBy("host", "skeleton").agg(F.count("*").alias("lines"))
+    shapes = cut(shapes.withColumn("block", F.regexp_extract("skeleton", r"^([^(]*)", 1)))
+    sizes = shapes.groupBy("host", "block").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    rows = shapes.withColumn("host_key", F.coalesce("host", F.lit(""))).join(sizes.withColumn("host_key", F.coalesce("host", F.lit(""))).drop("host"), ["host_key", "block"])
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("skeleton"), "chunks"))
+
+    def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shapes = (r for batch in batches for r in zip(batch["host_key"], batch["block"], batch["chunk"], batch["host"], batch["skeleton"], batch["lines"], strict=True))
+        for _, group in groupby(shapes, key=lambda r: r[:3]):
+            rows = [(host, skeleton, n, _tree(skeleton)) for _, _, _, host, skeleton, n in group]
+            wrapper = Slot(rows[0][3][0], sum(r[2] for r in rows))
+            for _, _, n, tree in rows:
+                merge(wrapper, tree, n)
+            out = []
+            for host, skeleton, n, tree in rows:
+                notes, nodes = agreed(wrapper, tree)
+                out.append((host, skeleton, n, notes, nodes / _nodes(tree), paths(tree)))
+            yield pd.DataFrame(out, columns=["host", "skeleton", "lines", "template", "alignment", "paths"])
+
+    place = ["host_key", "block", "chunk"]
+    spread = rows.repartition(*place).sortWithinPartitions(*place, F.desc("lines"), "skeleton")
+    own = cut(spread.mapInPandas(induce, "host string, skeleton string, lines long, template int, alignment double, paths array<string>"))
+    everywhere = own.select("lines", F.explode(F.array_distinct("paths")).alias("path")).groupBy("path").agg(F.sum("lines").alias("n")).where(F.col("n") >= LEAST)
+    alone = own.where("template = 0").select("host", "skeleton", F.explode("paths").alias("path")).join(everywhere, "path").groupBy("host", "skeleton").agg(F.count("*").cast("int").alias("shared"))
+    alone = alone.withColumnsRenamed({"host": "_host", "skeleton": "_skeleton"})
+    same = F.col("host").eqNullSafe(F.col("_host")) & (F.col("skeleton") == F.col("_skeleton"))
+    return own.join(alone, same, "left").select("host", "skeleton", "lines", F.when(F.col("template") > 0, F.col("template")).otherwise(F.coalesce("shared", F.lit(0))).alias("template"), "alignment")
+
+
+def notation_lines(df: DataFrame, keys: list[str], text: str, host: str) -> DataFrame:
+    """Keys of the lines that hold at least one piece of notation, each once: those with a template node of the wrapper
+    of their ``host``.
+
+    Defined cases: null, empty and blank lines hold none; a piece of notation of a kind that no other line of any host
+    has is no template and does not count; a null host is a host of its own; repeated rows count once, and do not
+    confirm one another; whole lines of any length are parsed; extra columns are ignored whatever their names; an empty
+    table gives an empty result.
     """
-    trees = _lines(df, keys, text).where(maybe(F.col("_text"))).withColumn("_p", parsed(F.col("_text"), F.lit(False)))
-    return trees.where(F.size("_p.notation") > 0).select(*[f"`{k}`" for k in keys]).distinct()
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{host}`").cast("string").alias("_host"), F.col(f"`{text}`").alias("_text")).where(maybe(F.col("_text"))).distinct()
+    parsed_rows = rows.withColumn("_p", parsed(F.col("_text"), F.lit(False))).where(F.size("_p.notation") > 0)
+    trees = cut(parsed_rows.select(*[f"`{k}`" for k in keys], "_host", F.col("_p.skeleton").alias("_skeleton")))
+    template = induced(trees.select(F.col("_host").alias("host"), F.col("_skeleton").alias("skeleton"))).where("template > 0")
+    same = F.col("_host").eqNullSafe(F.col("host")) & (F.col("_skeleton") == F.col("skeleton"))
+    return trees.join(template.select("host", "skeleton"), same, "left_semi").select(*[f"`{k}`" for k in keys]).distinct()
 
 
-def clean_lines(df: DataFrame, key: str, doc: str, order: str, text: str) -> DataFrame:
+def clean_lines(df: DataFrame, key: str, doc: str, order: str, text: str, host: str) -> DataFrame:
     """One row per line of each document: ``kind`` (heading, list, table, code, code_mark, formula, mark, text),
     ``level`` of a heading, ``clean`` text and the labels of the ``notation`` removed.
 
-    Lines between fences are code and stay as they are. The fence state is a two-level running count, so a document
+    Text is read off the slots of the wrapper of the line's ``host``; a line none of whose nodes is template stays as
+    it is. Lines between fences are code and stay as they are. The fence state is a two-level running count, so a document
     of any length never sits in one task. Defined cases: a null line has kind null and clean null; an unclosed fence
     runs to the end of its document; repeated rows (same key, document, order and text) give one row.
     """
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{doc}`").alias("doc"), F.col(f"`{order}`").alias("at"), F.col(f"`{text}`").alias("text")).distinct()
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{doc}`").alias("doc"), F.col(f"`{order}`").alias("at"), F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").cast("string").alias("host")).distinct()
     opens = F.coalesce(F.col("text").rlike(r"^\s*(?:`{3,}|~{3,})\s*[\w+-]*\s*$|^\s*<(?:pre|code|source)\b|</(?:pre|code|source)>|\\\\(?:begin|end)\{(?:verbatim|lstlisting)\}"), F.lit(False))
     one_line = F.coalesce(F.col("text").rlike(r"<(pre|code|source)\b.*</\1>"), F.lit(False))
     rows = rows.withColumn("fence", (opens & ~one_line).cast("long"))
     rows = running_total(rows, ["doc"], ["at", "key"], "fence", "fences")
     inside = (F.col("fence") == 0) & (F.col("fences") % 2 == 1)
     looked = rows.withColumn("inside", inside).withColumn("look", maybe(F.col("text")) | F.col("inside"))
-    need = looked.where("look").withColumn("p", parsed(F.col("text"), F.col("inside")))
-    done = need.select("key", "doc", "at", F.col("p.kind").alias("kind"), F.col("p.level").alias("level"), F.col("p.clean").alias("clean"), F.col("p.notation").alias("notation"))
+    need = cut(looked.where("look").withColumn("p", parsed(F.col("text"), F.col("inside"))).select("key", "doc", "at", "text", "host", "p.*"))
+    noted = F.size("notation") > 0
+    template = induced(need.where(noted).select("host", "skeleton")).where("template > 0").select(F.col("host").alias("_host"), F.col("skeleton").alias("_skeleton"))
+    joined = need.where(noted).join(template, F.col("host").eqNullSafe(F.col("_host")) & (F.col("skeleton") == F.col("_skeleton")), "left")
+    unknown = F.col("_skeleton").isNull()
+    done = joined.select(
+        "key", "doc", "at", F.when(unknown, "text").otherwise(F.col("kind")).alias("kind"), F.when(unknown, 0).otherwise(F.col("level")).alias("level"),
+        F.when(unknown, F.trim("text")).otherwise(F.col("clean")).alias("clean"), F.when(unknown, F.array().cast("array<string>")).otherwise(F.col("notation")).alias("notation"),
+    ).unionByName(need.where(~noted).select("key", "doc", "at", "kind", "level", "clean", "notation"))
     bullet = F.col("text").rlike(r"^\s*[-–—•]\s+\S")
     rest = looked.where("not look").select(
         "key", "doc", "at",
@@ -364,31 +487,23 @@ def clean_lines(df: DataFrame, key: str, doc: str, order: str, text: str) -> Dat
 
 
 def wrappers(df: DataFrame, host: str, text: str) -> DataFrame:
-    """Induced wrappers: for each host and line skeleton how many lines it has, how many of its slots vary (content)
-    or stay constant over at least three lines (template), and how well it aligns with the host's commonest skeleton
-    of the same block, by simple tree matching (matched nodes over the nodes of the larger tree).
+    """Induced wrappers: for each host and shape of line how many lines it has, how many of its slots vary (content) or
+    stay constant over at least three lines (template), how many of its notation nodes are template, and its alignment.
 
     All statistics are combinable aggregates, so a host of any size is never gathered in one task.
     """
-    lines = df.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text")).where(maybe(F.col("text")))
+    lines = df.select(F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{text}`").alias("text")).where(maybe(F.col("text")))
     trees = cut(lines.withColumn("p", parsed(F.col("text"), F.lit(False))).where(F.size("p.notation") > 0).select("host", "p.skeleton", "p.slots"))
     slots = trees.select("host", "skeleton", F.posexplode("slots").alias("pos", "slot")).groupBy("host", "skeleton", "pos").agg(
         F.count("*").alias("n"), (F.min("slot") == F.max("slot")).alias("same")
     )
     fixed = F.col("same") & (F.col("n") >= 3)
-    slots = slots.groupBy("host", "skeleton").agg(F.count_if(fixed).alias("template_slots"), F.count_if(~fixed).alias("content_slots"))
-    shapes = trees.groupBy("host", "skeleton").agg(F.count("*").alias("lines")).withColumn("block", F.regexp_extract("skeleton", r"^([^(]*)", 1))
-    main = shapes.groupBy("host", "block").agg(F.max_by("skeleton", F.struct("lines", "skeleton")).alias("main"))
+    slots = slots.groupBy(F.col("host").alias("_host"), F.col("skeleton").alias("_skeleton")).agg(F.count_if(fixed).alias("template_slots"), F.count_if(~fixed).alias("content_slots"))
+    zero = F.lit(0).cast("long")
     return (
-        shapes.join(slots, ["host", "skeleton"], "left")
-        .join(main, ["host", "block"])
-        .withColumn("alignment", F.pandas_udf(_alignments, T.DoubleType())("skeleton", "main"))
-        .select(
-            F.col("host").alias(host), "skeleton", "lines",
-            F.coalesce("template_slots", F.lit(0).cast("long")).alias("template_slots"),
-            F.coalesce("content_slots", F.lit(0).cast("long")).alias("content_slots"),
-            "alignment",
-        )
+        induced(trees.select("host", "skeleton"))
+        .join(slots, F.col("host").eqNullSafe(F.col("_host")) & (F.col("skeleton") == F.col("_skeleton")), "left")
+        .select(F.col("host").alias(host), "skeleton", "lines", F.coalesce("template_slots", zero).alias("template_slots"), F.coalesce("content_slots", zero).alias("content_slots"), F.col("template").alias("template_nodes"), "alignment")
     )
 
 
@@ -408,11 +523,3 @@ def _tree(skeleton: str) -> Node:
 
 def _nodes(tree: Node) -> int:
     return 1 + sum(map(_nodes, tree[1])) if tree[0] != "#" else 1
-
-
-def _alignments(left: pd.Series, right: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(left, right, strict=True):
-        x, y = _tree(a), _tree(b)
-        out.append(tree_match(x, y) / max(_nodes(x), _nodes(y)))
-    return pd.Series(out, dtype="float64")

@@ -46,12 +46,12 @@ def p1_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.notation_lines(table(spark, sf_dir, "text_segments"), ["seg_id"], "contents")
+    return markup.notation_lines(table(spark, sf_dir, "text_segments"), ["seg_id"], "contents", "code_aiot")
 
 
 @query
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = markup.clean_lines(table(spark, sf_dir, "text_segments"), "seg_id", "doc_id", "line_no", "contents")
+    out = markup.clean_lines(table(spark, sf_dir, "text_segments"), "seg_id", "doc_id", "line_no", "contents", "code_aiot")
     return out.withColumn("notation", F.array_join("notation", " "))
 
 

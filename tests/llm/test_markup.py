@@ -1,6 +1,6 @@
 import pytest
 
-from lexloom.llm.markup import clean, clean_lines, notation, notation_lines, parse, tree_match, wrappers
+from lexloom.llm.markup import Slot, agreed, clean, clean_lines, merge, notation, notation_lines, parse, wrappers
 
 MARKED = {
     "## Article 3 - Rejets": ("heading", "Article 3 - Rejets"), "== Article 2 ==": ("heading", "Article 2"), r"\section{Article 1}": ("heading", "Article 1"),
@@ -23,21 +23,29 @@ def test_plain_lines(line):
     assert not notation(parse(line))
 
 
-def test_tree_matching_counts_common_nodes():
-    a, b = parse("la **vanne** est"), parse("un **pont** dort")
-    assert tree_match(a, b) == tree_match(a, a) > tree_match(a, parse("sans rien"))
+def test_shapes_that_differ_in_a_node_share_the_rest():
+    wrapper = Slot("line", 0)
+    for line in ("la **vanne** est <b>la</b>", "un **pont** dort", "une <b>eau</b> de ``puits``"):
+        wrapper.lines += 1
+        merge(wrapper, parse(line), 1)
+    assert agreed(wrapper, parse("un **pont** dort"))[0] == 2
+    assert agreed(wrapper, parse("<b>x</b>"))[0] >= 1 and agreed(wrapper, parse("sans ``code``"))[0] == 0 and agreed(wrapper, parse("sans rien"))[0] == 0
 
 
 def test_documents(spark):
-    rows = [(i, "d", i, t) for i, t in enumerate(["# T", "```", "x = **1**", "```", None, "fin " * 20_000, "<b>a</b>"])]
-    df = spark.createDataFrame(rows + rows[:1], "seg int, doc string, at int, t string")
-    assert {r["seg"] for r in notation_lines(df, ["seg"], "t").collect()} == {0, 1, 2, 3, 6}
-    out = {r["seg"]: r for r in clean_lines(df, "seg", "doc", "at", "t").collect()}
+    rows = [(i, "d", i, t, "h") for i, t in enumerate(["# T", "```", "x = **1**", "```", None, "fin " * 20_000, "<b>a</b>"])]
+    rows += [(10 + i, "e", i, t, None) for i, t in enumerate(["# U", "y = **2** et **3**", "<b>b</b> **c**", "un \\vspace{2mm} seul"])]
+    df = spark.createDataFrame(rows + rows[:1], "seg int, doc string, at int, t string, host string")
+    # the only line with its kind of notation in all hosts is no template
+    assert {r["seg"] for r in notation_lines(df, ["seg"], "t", "host").collect()} == {0, 1, 2, 3, 6, 10, 11, 12}
+    whole = {r["seg"]: r for r in clean_lines(df, "seg", "doc", "at", "t", "host").collect()}
+    assert whole[11]["clean"] == "y = 2 et 3" and whole[13]["clean"] == "un \\vspace{2mm} seul"
+    out = {k: r for k, r in whole.items() if k < 10}
     assert len(out) == 7 and out[2]["kind"] == "code" and out[2]["clean"] == "x = **1**" and out[4]["clean"] is None and out[6]["clean"] == "a"
-    assert notation_lines(df.limit(0), ["seg"], "t").count() == 0
+    assert notation_lines(df.limit(0), ["seg"], "t", "host").count() == 0
 
 
 def test_wrappers_tell_template_from_content(spark):
     rows = [("h", f"<p>Article</p><b>{i}</b>") for i in range(4)]
     out = wrappers(spark.createDataFrame(rows, "host string, t string"), "host", "t").collect()
-    assert [(r["lines"], r["template_slots"], r["content_slots"], r["alignment"]) for r in out] == [(4, 1, 1, 1.0)]
+    assert [(r["lines"], r["template_slots"], r["content_slots"], r["template_nodes"], r["alignment"]) for r in out] == [(4, 1, 1, 4, 1.0)]
