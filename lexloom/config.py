@@ -1,32 +1,12 @@
-"""Settings of the engine, from keyword arguments or the environment."""
+"""Pipelines of steps."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 
-
-@dataclass(frozen=True)
-class EngineConfig:
-    as_of_year: int = 2025
-    parity: bool = True
-    codes_path: str | None = None
-    articles_path: str | None = None
-    acts_path: str | None = None
-
-    @classmethod
-    def from_env(cls, prefix: str = "LEXLOOM_") -> EngineConfig:
-        env = {k[len(prefix) :].lower(): v for k, v in os.environ.items() if k.startswith(prefix)}
-        return cls(
-            int(env.get("as_of_year", 2025)), env.get("parity", "true").lower() == "true",
-            env.get("codes_path"), env.get("articles_path"), env.get("acts_path"),
-        )
-
-
 Step = Callable[[DataFrame], DataFrame]
 
 

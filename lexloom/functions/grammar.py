@@ -76,9 +76,11 @@ ACT_ITEM = _ACT_ITEM
 DECREE = rf"decret\s+(?:n\s*°\s*[\d-]+\s+)?du\s+{DATED}"
 CIRCULAR = rf"circulaire\s+(?:(?:ministerielle|interministerielle)\s+|[a-z]{{2,}}(?:/[a-z]{{2,}})*\s+)?(?:n\s*°\s*[\d-]+\s+)?du\s+{DATED}"
 SELF = "(?:le )?present arrete"
+# Domains of European acts, the longest first because the alternation takes the first that fits.
 EU_DOMAINS = "(?:ue, euratom|ue|euratom|pesc|cee|cem|ceca|ce|jai)"
-EU_YEAR_FIRST = rf"(?:reglement|directive|decision)\s+(?:europeen(?:ne)?\s+)?(?:n°\s*)?(?:\d{{4}}|\d{{2}})/\d+/{EU_DOMAINS}"
-EU_NUM_FIRST = rf"(?:reglement|directive|decision)\s+(?:europeen(?:ne)?\s+)?(?:\({EU_DOMAINS}\)\s*)?(?:n°\s*)?\d+/(?:\d{{4}}|\d{{2}}){AFTER}"
+EU_TYPES = "(reglement|directive|decision|budget)"
+EU_YEAR_FIRST = rf"(?:reglement|directive|decision|budget)\s+(?:europeen(?:ne)?\s+)?(?:n°\s*)?(?:\d{{4}}|\d{{2}})/\d+/{EU_DOMAINS}"
+EU_NUM_FIRST = rf"(?:reglement|directive|decision|budget)\s+(?:europeen(?:ne)?\s+)?(?:\({EU_DOMAINS}\)\s*)?(?:n°\s*)?\d+/(?:\d{{4}}|\d{{2}}){AFTER}"
 EU = f"(?:{EU_YEAR_FIRST}|{EU_NUM_FIRST})"
 CODE_ARTICLE = r"(?:[lrd]\.?\s*(?:\d+\s*-\s*)*\d+)"
 DOTTED = r"(?:(?:\d+|[a-z]+)(?:\.(?:\d+|[a-z]+))+\.?)"
@@ -98,6 +100,7 @@ _OF = r"(?:de|du|des|d')\s"
 _TO = r"(?:a|au|a l'|aux)\s"
 _COUNT = "(?:un|deux|trois|quatre|cinq|six|sept|huit|neuf|dix)"
 _E = "ee?s?"  # participle endings after folding
+# Wordings that introduce what replaces a text.
 _AS = rf"(?:suivant\sles\sdispositions|par\sles\s(?:suivantes|dispositions|prescriptions)|par\sce\squi\ssuit|comme\sprecise|celles\sdefinies\spar|par\scelles\s(?:inscrites|repertoriees)|ainsi\squ'il\ssuit|dans\sles\sconditions\s(?:suivantes|ci-apres)|ainsi|par\sle\ssuivant|de\sla\s(?:facon|maniere)\ssuivante|comme\ssui(?:t|vant)|comme\s(?:indique|precise|ci-apres)|selon\s{_THE})"
 _AUX = r"(?:est\sainsi|sont\sainsi|est|sont)\s"
 # Keyword of an amendment and what must follow it, by type, in order of precedence.
@@ -117,3 +120,10 @@ OPERATIONS = (
 def operation_pattern(keyword: str, follow: str) -> str:
     """An operation of one kind: everything before is greedy, so the last auxiliary verb counts."""
     return rf"^.*\b{_AUX}({keyword}){follow}"
+
+
+#: the cheap test before the families: an auxiliary verb and any keyword behind it
+ANY_OPERATION = rf"\b{_AUX}(?:{'|'.join(word for _, word, _ in OPERATIONS)})"
+INSERTS = next(i for i, (_, word, _) in enumerate(OPERATIONS) if word.startswith("inser"))
+#: publication, not insertion
+GAZETTE = rf"^.*\b{_AUX}inser{_E}\saux?\srecueils?\sdes\sactes\sadministratifs"

@@ -135,9 +135,9 @@ def _descend(node: Pattern, original: str, flat: str, start: int, end: int, into
     return None
 
 
-def find(pattern: Pattern, string: str) -> Iterator[str | Found]:
-    """Text between matches and matches, in order; empty text is left out."""
-    flat, at = folded(string), 0
+def find(pattern: Pattern, string: str, fold: bool = True) -> Iterator[str | Found]:
+    """Text between matches and matches, in order; empty text is left out. Without ``fold`` case and accents count."""
+    flat, at = folded(string) if fold else string, 0
     for m in regex.finditer(pattern.expression, flat):
         if m.end() == m.start():
             continue
@@ -151,23 +151,95 @@ def find(pattern: Pattern, string: str) -> Iterator[str | Found]:
         yield string[at:]
 
 
-def render(flow: Iterator[str | Found], fn: Callable[[Found], str]) -> str:
-    """A flow put back into one text, matches through ``fn``."""
-    return "".join(x if isinstance(x, str) else fn(x) for x in flow)
+def render(flow: Iterator[str | Found], fn: Callable[[Found], str], allowed: set[str] | None = None) -> str:
+    """A flow put back into one text, matches through ``fn``. With ``allowed`` a group of another name is an error."""
+    return "".join(map_found(flow, fn, allowed))
 
 
-def with_following(flow: Iterator[str | Found]) -> list[str]:
-    """Each match together with the text after it; text before the first match is a piece of its own."""
-    out: list[str] = []
-    joined = True
+def map_found(flow: Iterator[str | Found], fn: Callable[[Found], object], allowed: set[str] | None = None) -> Iterator:
+    """A flow with ``fn`` of each match in its place."""
     for x in flow:
-        if isinstance(x, str) and out and not joined:
-            out[-1] += x
-            joined = True
+        if isinstance(x, Found) and allowed is not None:
+            for g in x.groups:
+                if g.name not in allowed:
+                    raise ValueError(f"unexpected group {g.name}")
+        yield x if isinstance(x, str) else fn(x)
+
+
+def flat_map_found(flow: Iterator[str | Found], fn: Callable[[Found], Iterator]) -> Iterator:
+    """A flow with the items of ``fn`` of each match in its place."""
+    for x in flow:
+        if isinstance(x, str):
+            yield x
+        else:
+            yield from fn(x)
+
+
+def flat_map_texts(flow: Iterator, fn: Callable[[str], Iterator]) -> Iterator:
+    """A flow whose texts are replaced by the items of ``fn``; elements pass through."""
+    for x in flow:
+        if isinstance(x, str):
+            yield from fn(x)
+        else:
+            yield x
+
+
+def split_groups(found: Found) -> Iterator[str | Found]:
+    """A match as the text between its named groups and the groups, in order; nested and empty groups are left out."""
+    at = 0
+    for g in sorted(found.groups, key=lambda g: (g.start, -len(g.text))):
+        start = g.start - found.start
+        if start < at or not g.text:
+            continue
+        if start > at:
+            yield found.text[at:start]
+        yield g
+        at = start + len(g.text)
+    if at < len(found.text):
+        yield found.text[at:]
+
+
+def texts_of(found: Found) -> list[str]:
+    """The texts a match consists of, groups in their place."""
+    return [x if isinstance(x, str) else x.text for x in split_groups(found)]
+
+
+def children_of(found: Found, *names: str) -> list[Found]:
+    """The groups directly below a match that have one of the names."""
+    return [g for g in found.groups if g.name in names]
+
+
+def sub_again(pattern: str, by: str, string: str) -> str:
+    """Replacement that searches again in what is left behind each hit, so an anchored pattern holds there anew."""
+    flat, out, at = folded(string), [], 0
+    while m := regex.compile(pattern).search(flat[at:]):
+        if m.end() == m.start():
+            break
+        out += [string[at : at + m.start()], by]
+        at += m.end()
+    return "".join(out) + string[at:]
+
+
+def split_before(pile: list[str], pattern: str) -> list[str]:
+    """A pile of lines joined with spaces and cut before each hit of a pattern; blank pieces are left out."""
+    text = " ".join(pile)
+    cuts = [0, *[m.start() for m in regex.finditer(pattern, folded(text)) if m.end() > m.start()], len(text)]
+    return [x for a, b in zip(cuts, cuts[1:], strict=False) if (x := text[a:b].strip())]
+
+
+def with_siblings(flow: Iterator[str | Found], previous: bool = False) -> list[str]:
+    """Each match together with the text after it, or with the text before it; what is left over is a piece of its own."""
+    out, held = [], ""
+    for x in flow:
+        if isinstance(x, str):
+            held += x
+        elif previous:
+            out.append(held + x.text)
+            held = ""
         else:
-            out.append(x if isinstance(x, str) else x.text)
-            joined = isinstance(x, str)
-    return out
+            out.append(held)
+            held = x.text
+    return [x for x in [*out, held] if x]
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("captures", T.MapType(T.StringType(), T.StringType()))]))

@@ -28,15 +28,13 @@ def strip_headings(text: Column) -> Column:
 
 
 def strip_emphasis(text: Column) -> Column:
-    """Opening asterisks at the start of a line go together with the next run of as many; unpaired ones stay."""
-    out = text
-    for n in (1, 2, 3):
-        stars = r"\*" * n
-        opened = text.rlike(rf"^(?:>|→|-|[a-zA-Z1-9][)°])?\s*{stars}[^*\s]")
-        rest = F.regexp_replace(text, rf"^((?:>|→|-|[a-zA-Z1-9][)°])?\s*){stars}", "$1")
-        closed = rest.rlike(rf"[^*]{stars}") & ~rest.rlike(rf"^\s*{stars}")
-        out = F.when(opened & closed, F.regexp_replace(rest, rf"^([^*]*(?:\*(?!{r'\*' * (n - 1)})[^*]*)*?){stars}" if n > 1 else rf"^([^*]*){stars}", "$1")).otherwise(out)
-    return out
+    """Opening asterisks at the start of a line, any number, go together with the next run of as many; unpaired ones stay."""
+    opening = r"^((?:>|→|-|[a-zA-Z1-9][)°])?\s*)(\*+)(?=[^*\s])"
+    bullet, stars = F.regexp_extract(text, opening, 1), F.regexp_extract(text, opening, 2)
+    rest = F.substring(text, F.length(bullet) + F.length(stars) + 1, F.length(text))
+    at = F.instr(rest, stars)
+    closed = F.concat(bullet, F.left(rest, at - 1), F.substring(rest, at + F.length(stars), F.length(rest)))
+    return F.when(F.contains(text, F.lit("*")), F.when((stars != "") & (at > 1), closed).otherwise(text)).otherwise(text)
 
 
 # Glyphs that scanning makes of others, in order.
@@ -44,18 +42,20 @@ GLYPHS = (("n̊", "n°"), ("N̊", "N°"), ("Nํ", "N°"), ("ı", "i"), ("p̧i",
 
 
 def repair_glyphs(text: Column) -> Column:
+    out = text
     for wrong, right in GLYPHS:
-        text = F.replace(text, F.lit(wrong), F.lit(right))
-    return text
+        out = F.replace(out, F.lit(wrong), F.lit(right))
+    return F.when(text.rlike("[^ -~\u00a0-\u00b9\u00bb-\u00ff]"), out).otherwise(text)
 
 
 def repair_months(text: Column) -> Column:
     """A month's short form followed by a comma was read for one with a point."""
+    out, stems = text, []
     for point in (m for m in G.MONTH_POINTS if m.endswith(".")):
         accented = {"fevr.": "févr.", "dec.": "déc."}.get(point, point)
-        stem = accented[:-1]
-        text = F.regexp_replace(text, rf"(?iu)\s{stem.replace('é', '[ée]')},\s", f" {accented} ")
-    return text
+        stems.append(accented[:-1].replace("é", "[ée]"))
+        out = F.regexp_replace(out, rf"(?iu)\s{stems[-1]},\s", f" {accented} ")
+    return F.when(text.rlike(rf"(?iu)\s(?:{'|'.join(stems)}),\s"), out).otherwise(text)
 
 
 def unescape(text: Column) -> Column:
@@ -67,13 +67,14 @@ def unescape(text: Column) -> Column:
 
 def recompose(text: Column) -> Column:
     """Letter-spaced words of the dictionary (vu, arrete, arretent) closed up; other spaced letters stay."""
+    spread = text.rlike(r"(?iu)(?<!\p{L})[av]\s[ru]")
     out = text
     for word in ("arretent", "arrete", "vu"):
         spaced = r"\s".join(f"[{c}éêèÉÊÈ]" if c == "e" else c for c in word)
         out = F.regexp_replace(out, rf"(?iu)(?<!\p{{L}})(?<!(?<!\p{{L}})\p{{L}}\s)({spaced})(?!\s?[\p{{L}}](?:\s|$)|[\p{{L}}])", "\u0002$1\u0003")
     parts = F.split(out, "\u0002", -1)
     closed = F.transform(parts, lambda p: F.when(F.contains(p, F.lit("\u0003")), F.concat(F.regexp_replace(F.substring_index(p, "\u0003", 1), r"\s", ""), F.substring_index(p, "\u0003", -1))).otherwise(p))
-    return F.when(F.contains(out, F.lit("\u0002")), F.array_join(closed, "")).otherwise(out)
+    return F.when(spread, F.array_join(closed, "")).otherwise(text)
 
 
 def useful(text: Column) -> Column:
@@ -137,7 +138,8 @@ CLEANING = (strip_newlines, strip_emphasis, strip_headings, plain_formulas, repa
 
 def clean(lines: DataFrame, text: str) -> DataFrame:
     """The cleaning step on a text column, in its order. One projection a step: a step that looks at its text several
-    times then looks at a computed value, where one nested expression would compute every earlier step again."""
+    times then looks at a computed value, where one nested expression would compute every earlier step again. The last
+    one generates its column, so that filters on the cleaned text stay above it instead of being put into the first."""
     for step in CLEANING:
         lines = lines.withColumn(text, step(F.col(text)))
-    return lines
+    return lines.select(*[F.explode(F.array(F.col(c))).alias(c) if c == text else F.col(f"`{c}`") for c in lines.columns])

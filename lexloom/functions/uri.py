@@ -28,7 +28,7 @@ def render(document: list[Column], sections: list[list[Column]] | None = None) -
 
 def parse(uri: Column) -> Column:
     """Array of parts, each an array of five tokens (null where empty); null for another scheme or a wrong shape."""
-    body = F.substring(uri, len(SCHEME) + 4, 1 << 20)
+    body = F.substring(uri, F.lit(len(SCHEME) + 4), F.length(uri))
     parts = F.transform(F.split(body, "/"), lambda p: F.transform(F.split(p, "_"), lambda t: F.nullif(percent_decode(t), F.lit(""))))
     shaped = F.forall(parts, lambda p: F.size(p) == 5)
     return F.when(F.startswith(uri, F.lit(f"{SCHEME}://")) & shaped, parts)
@@ -53,3 +53,8 @@ def external_url(doc_type: Column, doc_id: Column, article_id: Column) -> Column
         .when(doc_type == "code", F.concat(F.lit(f"{site}/codes/texte_lc/"), doc_id))
         .when(doc_type.startswith("eu-"), doc_id)
     )
+
+
+def valid_date(text: Column) -> Column:
+    """Whether a document's date is missing or a day of the calendar as yyyy-mm-dd with a year of four figures."""
+    return text.isNull() | (text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull())

@@ -30,7 +30,7 @@ def detect(lines: DataFrame, keys: list[str], folded: str = "folded") -> DataFra
     return opened.withColumn("span", F.regexp_replace("span", r"[\s,);]+$", ""))
 
 
-def acts(refs: DataFrame, keys: list[str]) -> DataFrame:
+def acts(refs: DataFrame, keys: list[str], as_of_year: int = 2025) -> DataFrame:
     """Decrees, circulars and orders with type, number and ISO date; members of a list inherit its authority."""
     single = refs.where("kind IN ('act', 'decree', 'circular')").select(*keys, "kind", "ordinal", F.lit(0).alias("member"), F.col("span").alias("item"), "span")
     lists = refs.where("kind = 'acts'").withColumn("body", F.regexp_replace("span", r"^arretes (?:(?:prefectoraux|ministeriels) (?:modifies )?)?", ""))
@@ -46,7 +46,46 @@ def acts(refs: DataFrame, keys: list[str]) -> DataFrame:
     numbered = F.regexp_extract(where, r"n\s*° ?\s*(\S+)", 1)
     bare = F.when(F.col("kind").isin("decree", "circular"), "").otherwise(F.regexp_extract(where, r"(\S+[/-]\S+)", 1))
     num = F.when(numbered != "", numbered).otherwise(bare)
-    return rows.select(*keys, "kind", "ordinal", "member", kind.alias("doc_type"), F.nullif(num, F.lit("")).alias("num"), date_of(F.col("item")).alias("doc_date"))
+    return rows.select(*keys, "kind", "ordinal", "member", kind.alias("doc_type"), F.nullif(num, F.lit("")).alias("num"), date_of(F.col("item"), as_of_year).alias("doc_date"))
+
+
+def dates(lines: DataFrame, keys: list[str], folded: str = "folded", as_of_year: int = 2025) -> DataFrame:
+    """All dates of the lines: keys, ordinal from 0, span, iso date and whether the day exists (else iso is 0001-01-01)."""
+    found = lines.where(F.col(folded).rlike(G.DATED)).select(*keys, F.posexplode(_spans(F.col(folded), G.DATED)).alias("ordinal", "span"))
+    told = found.withColumn("span", F.regexp_replace("span", r"[\s.,);]$", "")).withColumn("iso", date_of(F.col("span"), as_of_year))
+    return told.withColumn("exists", F.col("iso") != "0001-01-01")
+
+
+def eu_acts(refs: DataFrame, keys: list[str]) -> DataFrame:
+    """European acts of the detected references: type, number and four-figure year; ``budget`` is no act but an error."""
+    span = F.col("span")
+    first = F.regexp_extract(span, r"(\d+)/\d+", 1)
+    second = F.regexp_extract(span, r"\d+/(\d+)", 1)
+    year_first = span.rlike(rf"\d+/\d+/{G.EU_DOMAINS}$")
+    raw = F.when(year_first, first).otherwise(second)
+    year = F.when(F.length(raw) == 2, F.when(raw.cast("int") > 30, F.concat(F.lit("19"), raw)).otherwise(F.concat(F.lit("20"), raw))).otherwise(raw)
+    kind = F.regexp_extract(span, f"^{G.EU_TYPES}", 1)
+    rows = refs.where("kind = 'eu'").select(*keys, "ordinal", kind.alias("_kind"), F.when(year_first, second).otherwise(first).alias("num"), year.alias("year"))
+    return rows.select(*keys, "ordinal", F.when(F.col("_kind") != "budget", F.concat(F.lit("eu-"), "_kind")).alias("doc_type"), "num", "year", F.when(F.col("_kind") == "budget", "unsupported_act").alias("error"))
+
+
+def claim_titles(lines: DataFrame, keys: list[str], titles: DataFrame, title: str, lead: str, folded: str = "folded") -> DataFrame:
+    """(keys, title, start, end in words): catalogue titles named in the lines, the longest at each place, none inside another.
+
+    Runs of words from each ``lead`` word on are joined with the folded titles by equality: as many runs as titles have
+    different numbers of words, so the work grows with the lines and not with the catalogue.
+    """
+    words = F.split(F.trim(F.regexp_replace(F.col(folded), r"[^\p{L}\d]+", " ")), " ")
+    plain = lambda c: F.trim(F.regexp_replace(c, r"[^\p{L}\d]+", " "))
+    known = titles.select(plain(F.col(title)).alias("_t"), F.col(title)).where("_t <> ''").dropDuplicates(["_t"])
+    sizes = sorted(r[0] for r in known.select(F.size(F.split("_t", " "))).distinct().collect())
+    rows = lines.where(F.contains(F.col(folded), F.lit(lead))).select(*keys, words.alias("_w"))
+    starts = rows.select("*", F.posexplode("_w").alias("start", "_word")).where(F.col("_word").startswith(lead))
+    runs = starts.select(*keys, "start", "_w", F.explode(F.array(*[F.lit(n) for n in sizes] or [F.lit(0)])).alias("n")).where(F.col("start") + F.col("n") <= F.size("_w"))
+    named = runs.select(*keys, "start", "n", F.array_join(F.slice("_w", F.col("start") + 1, F.col("n")), " ").alias("_t")).join(known, "_t")
+    longest = named.groupBy(*keys, "start").agg(F.max_by(F.struct(title, "n"), "n").alias("m")).select(*keys, f"m.{title}", "start", (F.col("start") + F.col("m.n")).alias("end"))
+    w = Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    return longest.withColumn("_reach", F.max("end").over(w)).where("_reach IS NULL OR start >= _reach").drop("_reach")
 
 
 def date_of(text: Column, as_of_year: int = 2025) -> Column:
@@ -97,21 +136,24 @@ def match_parents(tokens: DataFrame, container: list[str], ordinal: str) -> Data
 
 
 def operations(lines: DataFrame, keys: list[str], folded: str = "folded") -> DataFrame:
-    """Amendment operations: type, keyword and whether an operand follows (text after the keyword without a point)."""
-    text = F.col(folded)
-    kind = keyword = F.lit(None).cast("string")
-    rest = F.lit("")
-    for name, word, follow in reversed(G.OPERATIONS):
+    """Amendment operations: type, keyword and whether an operand follows (text after the keyword without a point).
+
+    What is inserted in an official gazette is published, not amended. The family of a line is found once, and only its
+    own pattern is applied again for the keyword and the rest.
+    """
+    text = F.col("_text")
+    staged = lines.select(*keys, F.col(folded).alias("_text")).where(text.rlike(G.ANY_OPERATION))
+    family: Column = F.lit(None).cast("int")
+    for i, (_, word, follow) in reversed(list(enumerate(G.OPERATIONS))):
+        family = F.when(text.rlike(G.operation_pattern(word, follow)) & (~text.rlike(G.GAZETTE) if i == G.INSERTS else F.lit(True)), i).otherwise(family)
+    staged = staged.withColumn("_family", family).where("_family IS NOT NULL")
+    kind = F.element_at(F.array(*[F.lit(n) for n, _, _ in G.OPERATIONS]), F.col("_family") + 1)
+    keyword: Column = F.lit(None).cast("string")
+    rest: Column = F.lit(None).cast("string")
+    for i, (_, word, follow) in enumerate(G.OPERATIONS):
         p = G.operation_pattern(word, follow)
-        hit = text.rlike(p)
-        kind = F.when(hit, name).otherwise(kind)
-        keyword = F.when(hit, F.regexp_extract(text, p, 1)).otherwise(keyword)
-        rest = F.when(hit, F.regexp_replace(text, p, "")).otherwise(rest)
-    lead = rf"\b{G._AUX}"
-    staged = lines.where(text.rlike(lead)).select(*keys, kind.alias("operation_type"), keyword.alias("keyword"), rest.alias("rest"), text.rlike(r":$").alias("_colon"))
-    operand = F.col("_colon") | ((F.col("rest") != "") & ~F.contains("rest", F.lit(".")))
-    return staged.where("operation_type IS NOT NULL").select(*keys, "operation_type", "keyword", operand.alias("has_operand"))
-
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+        keyword = F.when(F.col("_family") == i, F.regexp_extract(text, p, 1)).otherwise(keyword)
+        rest = F.when(F.col("_family") == i, F.regexp_replace(text, p, "")).otherwise(rest)
+    told = staged.select(*keys, kind.alias("operation_type"), keyword.alias("keyword"), rest.alias("_rest"), text.rlike(r":$").alias("_colon"))
+    operand = F.col("_colon") | ((F.col("_rest") != "") & ~F.contains("_rest", F.lit(".")))
+    return told.select(*keys, "operation_type", "keyword", operand.alias("has_operand"))

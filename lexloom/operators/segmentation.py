@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +13,6 @@ from lexloom.functions.numbering import contiguous, levels, ordinal_to_int
 from lexloom.operators.lines import title_parts
 
 RANKS = {"annexe": 0, "titre": 1, "chapitre": 2, "article": 3, "unknown": 4}
-DEEPEST = 12
 
 
 def _order(doc: str, at: str):
@@ -63,21 +65,26 @@ def titles(lines: DataFrame, doc: str, at: str) -> DataFrame:
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_t", F.row_number().over(w)).withColumn("_slack", F.col("schema_level") - F.col("_t"))
     rows = rows.withColumn("depth", F.least(F.min("_slack").over(upto), F.lit(-1)) + F.col("_t"))
-    parent: Column = F.lit(None)
-    for d in range(1, DEEPEST + 1):
-        parent = F.when(F.col("depth") == d, F.last(F.when(F.col("depth") == d - 1, F.col(at)), ignorenulls=True).over(before)).otherwise(parent)
-    return rows.withColumn("parent_line", parent).select(doc, at, "section_type", "number", "levels", "title_text", "contiguous", "schema_level", "depth", "parent_line")
+    # every section waits one level up for its parent: the last section of that level before it, whatever the level
+    levels_of = F.explode(F.array(F.struct(F.col("depth").alias("level"), F.lit(0).alias("asks")), F.struct((F.col("depth") - 1).alias("level"), F.lit(1).alias("asks"))))
+    asked = rows.select("*", levels_of.alias("_l")).select("*", "_l.*")
+    level = Window.partitionBy(doc, "level").orderBy(at, "asks").rowsBetween(Window.unboundedPreceding, -1)
+    rows = asked.withColumn("parent_line", F.last(F.when(F.col("asks") == 0, F.col(at)), ignorenulls=True).over(level)).where("asks = 1")
+    return rows.select(doc, at, "section_type", "number", "levels", "title_text", "contiguous", "schema_level", "depth", "parent_line")
 
 
 def alineas(lines: DataFrame, doc: str, at: str) -> DataFrame:
-    """Body lines with their section (its title line) and alinea number from 1; runs of table or list lines are one alinea."""
+    """Body lines with their section (its title line) and alinea number from 1; runs of table or list lines are one
+    alinea, and so is a block quote if the lines have a ``quote_line``."""
     w = _order(doc, at)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = parts(lines, doc, at).where("part <> 'header' AND NOT document_element")
     rows = rows.withColumn("section_line", F.last(F.when(F.col("title"), F.col(at)), ignorenulls=True).over(upto))
     s = Window.partitionBy(doc, "section_line").orderBy(at)
-    rows = rows.where("NOT title").withColumn("_before", F.lag("block").over(s))
-    opens = F.when(F.col("block").isin("table", "list") & (F.col("block") == F.col("_before")), 0).otherwise(1)
+    quote = F.col("quote_line") if "quote_line" in lines.columns else F.lit(None).cast("long")
+    rows = rows.where("NOT title").withColumn("_quote", quote).withColumn("_before", F.lag("block").over(s)).withColumn("_quoted", F.lag("_quote").over(s))
+    same_run = F.col("block").isin("table", "list") & (F.col("block") == F.col("_before")) & F.col("_quoted").isNull()
+    opens = F.when(F.col("_quote").isNotNull(), F.when(F.col("_quote") == F.col("_quoted"), 0).otherwise(1)).when(same_run, 0).otherwise(1)
     return rows.withColumn("_opens", opens).withColumn("alinea", F.sum("_opens").over(s.rowsBetween(Window.unboundedPreceding, 0))).select(doc, at, "section_line", "alinea", "block")
 
 
@@ -89,17 +96,31 @@ def quote_depth(lines: DataFrame, doc: str, at: str) -> DataFrame:
     return lines.withColumn("_step", step).withColumn("quote_depth", F.sum("_step").over(upto)).drop("_step")
 
 
-def list_parents(lines: DataFrame, doc: str, at: str, deepest: int = 12) -> DataFrame:
-    """List lines with indentation and the line of the item they are nested in, within their run of list lines."""
+def list_parents(lines: DataFrame, doc: str, at: str) -> DataFrame:
+    """List lines with indentation and the line of the item they are nested in, within their run of list lines.
+
+    One pass over the list lines in order with a stack of open items, so indentation and nesting have no bound.
+    """
     w = _order(doc, at)
     rows = lines.withColumn("_is", F.col("block") == "list").withColumn("_new", F.when(F.col("_is") & F.lag("_is", 1, False).over(w), 0).otherwise(1))
     rows = rows.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_is")
-    rows = rows.withColumn("indent", F.least(F.length(F.regexp_extract("folded", r"^(\s*)", 1)), F.lit(deepest)))
-    inside = Window.partitionBy(doc, "run").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    parent: Column = F.lit(None)
-    for k in range(1, deepest + 1):
-        parent = F.when(F.col("indent") == k, F.max(F.when(F.col("indent") < k, F.col(at))).over(inside)).otherwise(parent)
-    return rows.withColumn("parent_line", parent).select(doc, at, "run", "indent", "parent_line")
+    rows = rows.select(doc, at, "run", F.length(F.regexp_extract("folded", r"^(\s*)", 1)).alias("indent"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, stack = None, []
+        for batch in batches:
+            parents = []
+            for d, line, number, indent in zip(batch[doc], batch[at], batch["run"], batch["indent"], strict=True):
+                if (d, number) != key:
+                    key, stack = (d, number), []
+                while stack and stack[-1][1] >= indent:
+                    stack.pop()
+                parents.append(stack[-1][0] if stack else None)
+                stack.append((line, indent))
+            yield batch.assign(parent_line=pd.array(parents, dtype="Int64"))
+
+    kinds = dict(rows.dtypes)
+    return rows.repartition(doc).sortWithinPartitions(doc, at).mapInPandas(run, f"`{doc}` {kinds[doc]}, `{at}` {kinds[at]}, run long, indent int, parent_line {kinds[at]}")
 
 
 def table_cells(lines: DataFrame, doc: str, at: str) -> DataFrame:

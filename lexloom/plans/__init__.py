@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("order_queries", "hierarchy_queries")
+_MODULES = ("order_queries", "hierarchy_queries", "element_queries")
 
 
 def _load():

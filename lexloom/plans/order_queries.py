@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import grammar as G
 from lexloom.functions import numbering, text, uri
-from lexloom.operators import consolidation, lines, references, resolution, segmentation, tree
+from lexloom.operators import consolidation, lines, quotes, references, resolution, segmentation, tree
 from lexloom.plans.registry import query
 from lexloom.runtime import latest, table
 from lexloom.sources.files import render_html
@@ -138,10 +138,10 @@ def date_numeric(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", references.date_of(s).alias("iso"), references.date_of(F.when(F.col("o_orderkey") % 2 == 0, "31/02/2013 ;")).alias("broken"))
 
 
-@query("line_dates", f"WITH {LINES} SELECT seg_id, {take('(' + G.DATED + ')', 1)} AS found FROM lines WHERE {has(G.DATED)}")
+@query("line_dates", f"WITH {LINES}, x AS (SELECT seg_id, regexp_extract_all(folded, {re('(' + G.DATED + ')')}, 1) AS k FROM lines) SELECT seg_id, CAST(i - 1 AS INT) AS ordinal, regexp_replace(k[i], '[\\s.,);]$', '') AS span FROM x, LATERAL (SELECT unnest(range(1, len(k) + 1)) AS i)")
 def line_dates(spark, sf_dir):
-    f = F.col("folded")
-    return folded(spark, sf_dir).where(f.rlike(G.DATED)).select("seg_id", F.regexp_extract(f, f"({G.DATED})", 1).alias("found"))
+    """All dates of all lines."""
+    return references.dates(folded(spark, sf_dir), ["seg_id"]).select("seg_id", "ordinal", "span")
 
 
 _ROMAN_CASE = "CASE upper(p) " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in G.ROMANS.items() if k != "V") + " ELSE CASE WHEN regexp_matches(p, '^[a-zA-Z]$') THEN ascii(upper(p)) - 64 WHEN regexp_matches(p, '^[0-9]{1,2}$') THEN CAST(p AS INT) END END"
@@ -175,7 +175,7 @@ def title_parse(spark, sf_dir):
 @query("section_nesting")
 def section_nesting(spark, sf_dir):
     """Titles with contiguity, depth and parent section; checked against a stack in the tests."""
-    out = segmentation.titles(featured(spark, sf_dir), "doc_id", "line_no")
+    out = segmentation.titles(quotes.own_titles(quotes.with_quotes(featured(spark, sf_dir), "doc_id", "line_no"), "doc_id", "line_no"), "doc_id", "line_no")
     return out.withColumn("levels", F.array_join("levels", "."))
 
 
@@ -311,15 +311,10 @@ _CODE = f"SELECT titre, cid, translate(lower(titre), {q(G.FOLD_FROM)}, {q(G.FOLD
 
 @query("code_references", f"WITH {LINES}, c AS ({_CODE}) SELECT DISTINCT seg_id, cid AS code_cid FROM lines JOIN c ON contains(folded, t)")
 def code_references(spark, sf_dir):
-    """Codes of the catalogue named in lines: one alternation of all titles finds them, an equi-join names them."""
-    codes = table(spark, sf_dir, "dim_codes")
-    titles = [r[0] for r in codes.select(text.fold(F.col("titre"))).where("titre IS NOT NULL").distinct().limit(20_001).collect()]
-    if len(titles) > 20_000:
-        raise ValueError("the catalogue of codes is not a short list")
-    special = str.maketrans({c: "\\" + c for c in ".()[]{}*+?^$|\\"})
-    pattern = "(" + "|".join(t.translate(special) for t in sorted(titles, key=len, reverse=True)) + ")"
-    spans = folded(spark, sf_dir).where(F.contains("folded", F.lit("code"))).select("seg_id", F.explode(F.regexp_extract_all("folded", F.lit(pattern), F.lit(1))).alias("title"))
-    return resolution.resolve_codes(spans, codes, "title").select("seg_id", "code_cid").distinct()
+    """Codes of the catalogue named in lines: runs of words joined with the titles by equality."""
+    codes = table(spark, sf_dir, "dim_codes").where("titre IS NOT NULL").select(text.fold(F.col("titre")).alias("title"), "cid")
+    found = references.claim_titles(folded(spark, sf_dir), ["seg_id"], codes, "title", "code")
+    return resolution.resolve_codes(found.select("seg_id", "title"), codes.withColumnRenamed("title", "titre"), "title").select("seg_id", "code_cid").distinct()
 
 
 _TYPED = "SELECT DISTINCT mention_id, titre_raw, num_raw FROM code_mentions"
@@ -402,16 +397,6 @@ def operations_with_references(spark, sf_dir):
     return consolidation.operations_with_references(folded(spark, sf_dir), refs(spark, sf_dir), ["seg_id"])
 
 
-_NODES = "nodes AS (SELECT l_orderkey, l_linenumber AS place, ['reference', 'text', 'operation', 'quote', 'table', 'text', 'operation'][(l_partkey % 7) + 1] AS kind FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) = 1)"
-
-
-@query("operation_operand_link", f"WITH {_NODES}, w AS (SELECT *, last_value(CASE WHEN kind = 'reference' THEN place END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target, first_value(CASE WHEN kind IN ('quote', 'table') THEN place END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS operand FROM nodes) SELECT l_orderkey, place AS operation, target, operand FROM w WHERE kind = 'operation'")
-def operation_operand_link(spark, sf_dir):
-    kinds = F.array(*[F.lit(k) for k in ("reference", "text", "operation", "quote", "table", "text", "operation")])
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("place")).agg(F.min("l_partkey").alias("p"))
-    return consolidation.link(rows.select("l_orderkey", "place", F.element_at(kinds, (F.col("p") % 7 + 1).cast("int")).alias("kind")), "l_orderkey")
-
-
 @query("parent_match", "WITH t AS (SELECT doc_id, ref_id, row_number() OVER (PARTITION BY doc_id ORDER BY ref_id) AS k FROM (SELECT DISTINCT doc_id, ref_id FROM section_references)) SELECT doc_id, 3 * k - 2 AS ordinal, CASE WHEN k % 2 = 1 THEN 3 * k END AS parent_ordinal FROM t")
 def parent_match(spark, sf_dir):
     """Token rows [section][connector or other text][document] of every reference, matched by position."""
@@ -440,11 +425,6 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root.unionByName(pages)
 
 
-@query("tree_contiguous", f"WITH {_TREE} SELECT a.doc_id, a.pre, b.pre AS left_pre, b.depth AS left_depth FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.post = a.pre - 1")
-def tree_contiguous(spark, sf_dir):
-    return tree.contiguous_left(_nodes(spark, sf_dir), "doc_id")
-
-
 @query("html_sink")
 def html_sink(spark, sf_dir):
     """One semantic HTML text per order."""
@@ -453,13 +433,6 @@ def html_sink(spark, sf_dir):
     return render_html(labelled)
 
 
-@query("error_report", f"WITH {LINES}, d AS (SELECT seg_id, {take('(' + G.DATE + ')', 1)} AS found FROM lines WHERE {has(G.DATE)}) SELECT 'unresolved_mention' AS code, count(*) AS n FROM (SELECT DISTINCT mention_id FROM code_mentions WHERE titre_raw IS NULL) UNION ALL SELECT 'line_with_date', count(*) FROM d")
-def error_report(spark, sf_dir):
-    missing = table(spark, sf_dir, "code_mentions").where("titre_raw IS NULL").select("mention_id").distinct().agg(F.count("*").alias("n"))
-    dated = folded(spark, sf_dir).where(F.col("folded").rlike(G.DATE)).agg(F.count("*").alias("n"))
-    return missing.select(F.lit("unresolved_mention").alias("code"), "n").unionByName(dated.select(F.lit("line_with_date").alias("code"), "n"))
-
-
 @query("latest_deliveries", "SELECT file_kind, count(DISTINCT t.seg_id) AS n_lines, count(*) AS n_deliveries FROM text_segments t JOIN ocr_files USING (doc_id) GROUP BY 1")
 def latest_deliveries(spark, sf_dir):
     """Lines by kind of order, deliveries of one line counted once (the last is kept) and in all."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,46 @@ def read_register_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
 
 
+# Names of files in the register's document lists, and the kinds they stand for.
+FILE_KINDS = {
+    "ap d'autorisation": "AP",
+    "ap enregistrement": "AP",
+    "ap autorisation temporaire": "AP",
+    "arrêté préfectoral": "AP",
+    "ap servitude d'utilité publique": "AP",
+    "ap prescriptions complémentaires": "APC",
+    "arrêté de mise en demeure": "APMD",
+    "ap mise en demeure": "APMD",
+    "ap levée de mise en demeure": "APMD",
+    "ap mesures d'urgence": "APMU",
+    "autre": "Autre",
+}
+
+
+def file_kind(name: Column) -> Column:
+    """The kind of a listed document; null for kinds that are not taken."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in FILE_KINDS.items() for x in kv]), F.lower(F.trim(name)))
+
+
+def nested_html(lines: DataFrame, doc: str = "doc_id", at: str = "line_no") -> DataFrame:
+    """One HTML text per document with sections nested by ``depth``.
+
+    ``lines``: part, title, depth (of titles, from 0), html (of other lines) and contents. A title closes the sections
+    down to its depth and opens its own; each part closes what it opened.
+    """
+    w = Window.partitionBy(doc, "part").orderBy(at)
+    before = F.coalesce(F.last("depth", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    last = F.coalesce(F.last("depth", ignorenulls=True).over(Window.partitionBy(doc, "part").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(-1))
+    level = F.least(F.col("depth") + 2, F.lit(6)).cast("string")
+    opened = F.concat(F.repeat(F.lit("</section>"), F.greatest(F.col("_before") - F.col("depth") + 1, F.lit(0))), F.lit('<section class="dsr-section"><h'), level, F.lit(">"), F.col("html"), F.lit("</h"), level, F.lit(">"))
+    rows = lines.withColumn("_before", before).withColumn("_last", last).withColumn("_node", F.when(F.col("depth").isNotNull(), opened).otherwise(F.concat(F.lit("<div>"), F.col("html"), F.lit("</div>"))))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col("_node").alias("n")))), lambda x: x["n"]), "")
+    rank = F.when(F.col("part") == "header", 0).when(F.col("part") == "main", 1).otherwise(2)
+    parts = rows.groupBy(doc, "part").agg(body.alias("b"), F.max("_last").alias("l"))
+    tags = parts.select(doc, F.struct(rank.alias("r"), F.concat(F.lit("<"), "part", F.lit('>'), "b", F.repeat(F.lit("</section>"), F.col("l") + 1), F.lit("</"), "part", F.lit(">")).alias("h")).alias("p"))
+    return tags.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["h"]), "").alias("html"))
+
+
 def render_html(lines: DataFrame, doc: str = "doc_id", at: str = "line_no") -> DataFrame:
     """One semantic HTML text per document from labelled lines (``part``, ``element``, ``contents``)."""
     escaped = F.replace(F.replace(F.replace(F.col("contents"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))

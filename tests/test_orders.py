@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.config import EngineConfig, run_pipeline
+from lexloom.config import run_pipeline
 from lexloom.functions import numbering, text, uri
-from lexloom.operators import consolidation, lines, references, segmentation, tree
+from lexloom.operators import lines, references, segmentation, tree
 
 
 def column(spark, values, fn, kind="string"):
@@ -138,8 +138,6 @@ def test_parents_links_and_tree(spark):
     rows = [("d", 1, "section", "article 1", "g"), ("d", 2, "text", " et ", None), ("d", 3, "section", "article 2", "g"), ("d", 4, "text", " de l'", None), ("d", 5, "document", "arrêté", None)]
     df = spark.createDataFrame(rows, "doc string, n int, kind string, text string, group_id string")
     assert [r["parent_ordinal"] for r in references.match_parents(df, ["doc"], "n").where("kind = 'section'").orderBy("n").collect()] == [5, 5]
-    nodes = spark.createDataFrame([("d", i, k) for i, k in enumerate(["reference", "operation", "text", "quote", "operation"])], "doc string, place int, kind string")
-    assert {(r["operation"], r["target"], r["operand"]) for r in consolidation.link(nodes, "doc").collect()} == {(1, 0, 3), (4, 0, None)}
     t = spark.createDataFrame([("d", 0, 3, None, 0), ("d", 1, 2, 0, 1), ("d", 2, 2, 1, 2), ("d", 3, 3, 0, 1)], "doc string, pre int, post int, parent int, depth int")
     assert {(r["ancestor"], r["descendant"]) for r in tree.descendants(t, "doc").collect()} == {(0, 1), (0, 2), (0, 3), (1, 2)}
     assert {(r["pre"], r["next_pre"]) for r in tree.contiguous_right(t, "doc").collect()} == {(1, 3), (2, 3)}
@@ -169,4 +167,3 @@ def test_explode_and_pipeline(spark):
     kept = lines.explode_lines(docs, keep_newline=True).orderBy("doc_id", "line_no").collect()
     assert [(r["doc_id"], r["contents"], r["end_col"]) for r in kept] == [("d", "a\n", 2), ("d", "b\n", 2)]
     out = run_pipeline(docs, [lambda df: df.where("text IS NOT NULL"), lambda df: df.select("doc_id")])
-    assert out.count() == 2 and EngineConfig().parity

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lexloom.functions.patterns import Found, choice, find, find_all, folded, group, render, repeat, sequence, text, with_following
+from lexloom.functions.patterns import Found, choice, find, find_all, folded, group, render, repeat, sequence, text, with_siblings
 
 NUMBER = choice(text(r"[lrd]\. ?\d+-\d+", "code"), text(r"\d+", "simple"))
 ARTICLES = sequence("articles? ", repeat(group("number", NUMBER), 1, None, r"(?:, | et )"))
@@ -16,7 +16,7 @@ def test_tree_of_a_match():
 
 def test_flows():
     assert render(find(text("arrete"), "Un Arrêté, arrêté"), lambda f: f"<{f.text}>") == "Un <Arrêté>, <arrêté>"
-    assert with_following(find(text(r"vu "), "avant Vu un Vu deux")) == ["avant ", "Vu un ", "Vu deux"]
+    assert with_siblings(find(text(r"vu "), "avant Vu un Vu deux")) == ["avant ", "Vu un ", "Vu deux"]
     assert list(find(text("x*"), "")) == [] and list(find(text("z"), "abc")) == ["abc"]
     assert len(folded("İÉ«x»")) == 5
 
