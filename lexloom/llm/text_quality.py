@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +43,7 @@ _CELLS = re.compile(r"\t|\||;\S|,\S|\S  ")
 _MARKED = re.compile(r"^\s*(?:[-*•–—▪◦·>+‣●○■□➢✓]\s*|\(?\d{1,3}(?:\.\d{1,3})*[.)°]\s+|\(?[A-Za-z][.)]\s+|[ivxIVX]{1,5}[.)]\s+)\S")
 _GAP = re.compile(r"\S {2,}(?=\S)")
 _BAR = re.compile(r"(?:^|\s)\|(?=\s|$)")
-_ENDS = re.compile(r"[.;:!?…»\")]\s*$")
+_END_SIGNS = frozenset(".;:!?…»\")")
 _BREAK = re.compile(r"(?<=[.;!?])\s+")
 _STOP = re.compile(r"[.!?…»\"]\s*$")
 _VOWEL = re.compile(r"[aeiouyàâäéèêëîïôöùûüœæ]")
@@ -132,9 +132,9 @@ def _token(token: str) -> tuple:
     return hit
 
 
-def _profile(text: str) -> tuple[Counter, int, int, int, int, int]:
+def _profile(text: str) -> tuple[dict[str, int], int, int, int, int, int]:
     """Word counts, letters, unusual signs, digits, odd tokens and tokens of a text."""
-    words: Counter = Counter()
+    words: dict[str, int] = defaultdict(int)
     letters = signs = digits = odd = 0
     tokens = text.split()
     seen = _SEEN.get
@@ -143,9 +143,10 @@ def _profile(text: str) -> tuple[Counter, int, int, int, int, int]:
         for w in own:
             words[w] += k
         letters += n * k
-        signs += u * k
-        digits += d * k
-        odd += o * k
+        if u or d or o:
+            signs += u * k
+            digits += d * k
+            odd += o * k
     return words, letters, signs, digits, odd, len(tokens)
 
 
@@ -159,7 +160,7 @@ def statistics(text: str | None, common: dict[str, set[str]], every: set[str]) -
     tally, letters, signs, digits, odd, tokens = whole if in_list + in_table == 0 or body is text else _profile(body)
     words = sum(tally.values())
     n = max(words, 1)
-    known = {lang: sum(tally[w] for w in usual if w in tally) / n for lang, usual in common.items()}
+    known = {lang: sum(tally[w] for w in usual & tally.keys()) / n for lang, usual in common.items()}
     lang = max(known, key=lambda k: (known[k], k)) if known else None
     chars = max(len(body), 1)
     flow = " ".join(body.split("\n"))
@@ -173,7 +174,7 @@ def statistics(text: str | None, common: dict[str, set[str]], every: set[str]) -
         "log_words": math.log1p(n_all),
         "log_lines": math.log1p(len(lines)),
         "mean_word_length": min(whole[1] / max(n_all, 1), 20.0),
-        "lines_with_end": sum(bool(_ENDS.search(x)) for x in lines) / max(len(lines), 1),
+        "lines_with_end": sum(1 for x in lines if x.rstrip()[-1:] in _END_SIGNS) / max(len(lines), 1),
         "guessed": lang if lang and known[lang] >= 0.1 else None,
         "word_length": min(letters / n, 20.0),
         "symbols": signs / chars,
