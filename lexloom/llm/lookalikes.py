@@ -152,6 +152,7 @@ def unify(df: DataFrame, col: str, out: str = "plain") -> DataFrame:
 
 
 def disguised(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """Keys of the rows whose text is not in plain form, each once. Only suspect rows reach the join."""
-    rows = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{col}`").alias("_text")).where(suspect(F.col("_text")))
+    """Keys of the rows whose text is not in plain form, each once. Only suspect rows reach the join; they are written
+    once, as every row is tested by a pattern that costs more than reading them again."""
+    rows = cut(df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{col}`").alias("_text")).where(suspect(F.col("_text"))))
     return unify(rows, "_text", "_plain").where("_text <> _plain").select(*[f"`{k}`" for k in keys]).distinct()
