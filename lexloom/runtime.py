@@ -57,6 +57,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores before a step that costs much per row: adaptive execution joins partitions by their bytes, and
+    would leave few small but costly rows to one task. At least as many partitions as a shuffle has."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *[F.col(f"`{k}`") for k in keys])
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
