@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm.lookalikes import plain_form
-from lexloom.runtime import latest
+from lexloom.runtime import latest, spread
 
 MAX_EDITS = 2  # edits a typed value may be away from an entry
 WINDOW = 14  # deletions are taken from so many characters at the end of a title
@@ -247,7 +247,7 @@ def map_values(values: DataFrame, col: str, entries: list[tuple[str, str]], weig
         for batch in batches:
             yield batch.map(book.lookup, na_action="ignore").astype(object)
 
-    return values.select(F.col(f"`{col}`").alias("value")).distinct().withColumn("entry", F.pandas_udf(look, _MAPPED)("value"))
+    return spread(values.select(F.col(f"`{col}`").alias("value")).distinct(), "value").withColumn("entry", F.pandas_udf(look, _MAPPED)("value"))
 
 
 def frequencies(values: DataFrame, col: str, entries: list[tuple[str, str]]) -> dict[str, int]:
@@ -268,7 +268,7 @@ def map_mentions(mentions: DataFrame, codes: DataFrame, articles: DataFrame) ->
     entries = [(r["titre"], r["cid"]) for r in codes.select("titre", "cid").where("titre is not null").limit(MAX_ENTRIES + 1).collect()]
     rows = latest(mentions.select("mention_id", "titre_raw", "num_raw", "entered_at"), ["mention_id"], "entered_at")
     found = map_values(rows, "titre_raw", entries, frequencies(rows, "titre_raw", entries))
-    numbers = rows.select("num_raw").distinct().withColumn("num", F.pandas_udf(_numbers, T.StringType())("num_raw"))
+    numbers = spread(rows.select("num_raw").distinct(), "num_raw").withColumn("num", F.pandas_udf(_numbers, T.StringType())("num_raw"))
     nums = articles.select(F.col("code_cid"), F.col("num"), F.col("id").alias("article_id")).groupBy("code_cid", "num").agg(F.min("article_id").alias("article_id"))
     return (
         rows.join(found.withColumnRenamed("value", "titre_raw").withColumnRenamed("entry", "code_cid"), "titre_raw", "left")
