@@ -57,6 +57,18 @@ def test_rare_words_are_known_beyond_the_broadcast(spark, monkeypatch):
     assert {r["text"] for r in marked_lines(df).where("seg_id = 960").collect()} == {"le filigrane est"}
 
 
+def test_bound_of_words_changes_nothing(spark, monkeypatch):
+    """Words with figures, words joined over lines and letter-spaced ones count whether broadcast or joined."""
+    lines = ["exploitant conserve le registre"] * 400 + ["le mode calme", "un mode fort"] * 60 + ["la rnode", "une bague", "une bague", "une bague", "une bogue", "le poste H2O", "le poste H2O", "le poste H2O"]
+    lines += ["le vase clos"] * 90 + ["la vose nue"] * 2 + ["la vase nue"] * 4 + ["le filigrane est"] * 60 + ["le f i 1 i g r a n e est", "le f i l i", "un fi1i-", "grane est"] + ["un calme plat"] * 5 + ["un colme plat", "le mo**de** fort"]
+    lines += ["la cour haute"] * 80 + ["le caur bas"] * 1 + ["la caur haute"] + ["le cœur bas"] * 4 + ["ma foi"] * 3
+    df = spark.createDataFrame([(i, f"d{i // 2}", 1, i % 2, t) for i, t in enumerate(lines)], "seg_id long, doc_id string, page int, line_no long, contents string")
+    told = lambda: sorted((r["seg_id"], r["role"], *r["noise"], r["text"]) for r in marked_lines(df).collect())
+    whole = told()
+    monkeypatch.setattr("lexloom.llm.scan_repair.LEXICON_BOUND", 9)
+    assert told() == whole
+
+
 def test_page_numbers():
     assert all(map(is_page_number, ["page 1/4", "— 3 —", "- 2 -", "[2]", "( 3 )", "iii", "Feuillet 1", "2 sur 4", "12", "p. 5"]))
     assert not any(map(is_page_number, ["2013 ;", "1997.", "- 3 ans", "°C.", "L.", "", "Article 3"]))
